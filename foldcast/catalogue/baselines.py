@@ -18,6 +18,7 @@ from foldcast.operators.folds import fold_table
 from foldcast.operators.series import day_lag, lag_days, lagged_pairs, running_mean
 from foldcast.plans.baselines import baseline_predictions, baseline_scores as score_baselines, mean_model
 from foldcast.plans.sweep import best_run as pick_best, grid, sweep_scores
+from foldcast.session import checked_broadcast, materialise
 
 _NO_PLL = {k: v for k, v in SCORES.items() if k != "PLL"}
 _OFFSET_SQL = {"PRMS": "1.0::DOUBLE", "PLL": "1.0::DOUBLE"}
@@ -107,7 +108,8 @@ def fold_score_summary(spark, sf_dir):
          AND fit.fold = folds.fold WHERE split = 'valid' GROUP BY 1, 2""",
 )
 def mean_baseline(spark, sf_dir):
-    df = panel(spark, sf_dir).withColumn("year", F.year("d"))
+    # Three steps read the panel, which is far smaller than the orders: keep it.
+    df = materialise(panel(spark, sf_dir).withColumn("year", F.year("d")), "panel")
     folds = fold_table(df, F.col("year"), FOLD_YEARS, 1)
     by_year = df.groupBy("entity", "year").agg(
         F.count("y").alias("n"), F.sum("y").alias("total")
@@ -143,10 +145,8 @@ def poisson_noise_floor(spark, sf_dir):
     drawn = df.withColumn("p", poisson_sample(F.col("y"), ["d"], 42)).withColumn(
         "year", F.year("d")
     )
-    sums = drawn.groupBy("year").agg(F.sum("p").cast("bigint").alias("drawn"))
-    out = sc.score(
-        drawn, F.col("y"), F.col("p"), ["year"], _NO_PLL, BASELINE_OFFSETS
-    ).join(sums, "year")
+    measured = _NO_PLL | {"drawn": lambda y, p: F.sum(p).cast("bigint")}
+    out = sc.score(drawn, F.col("y"), F.col("p"), ["year"], measured, BASELINE_OFFSETS)
     return round_columns(out, list(_NO_PLL))
 
 
@@ -254,7 +254,7 @@ def regression_scores(spark, sf_dir):
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price")
     )
     out = sc.score(
-        df.join(unit, "l_returnflag"), F.col("l_extendedprice"),
+        df.join(checked_broadcast(unit, "unit"), "l_returnflag"), F.col("l_extendedprice"),
         F.col("l_quantity") * F.col("price"), ["year"], REGRESSION_SCORES,
     )
     return round_columns(round_columns(out, ["MAE", "RMSE"], 4), ["R2"])

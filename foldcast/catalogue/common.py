@@ -63,8 +63,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_mask(days)
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per market segment and order day: (entity, d, y, revenue).
+def segment_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, d, n, revenue): orders with the segment of their customer.
 
     Orders are first summed per customer and day, which shrinks a customer with
     very many orders to a row per day before the join moves it.
@@ -77,12 +77,18 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"n": F.count(F.lit(1)), "revenue": F.sum("o_totalprice")},
         [F.col("o_custkey").alias("c_custkey")],
     )
-    joined = per_customer.join(customers, "c_custkey")
+    return per_customer.join(customers, "c_custkey").select(
+        F.col("c_mktsegment").alias("entity"), "d", "n", "revenue"
+    )
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per market segment and order day: (entity, d, y, revenue)."""
     return daily_series(
-        joined,
+        segment_days(spark, sf_dir),
         F.col("d"),
         {"y": F.sum("n").cast("bigint"), "revenue": F.sum("revenue")},
-        [F.col("c_mktsegment").alias("entity")],
+        ["entity"],
     )
 
 
@@ -169,3 +175,38 @@ def scores_sql(**options) -> str:
     y = options.get("y", "y")
     listed = [f"{r(sql)} AS \"{name}\"" for name, sql in metric_sql(**options).items()]
     return f"count(CASE WHEN {p} IS NOT NULL THEN {y} END) AS n, " + ", ".join(listed)
+
+
+def ols_sql(source: str, features, y: str, out: str, by: str = "fold") -> str:
+    """CTEs that end in ``out``: the rows of ``source`` with the least squares
+    prediction ``p``, fitted per group on its training rows. Each feature is made
+    orthogonal to the ones before it, so that only simple regressions are needed."""
+    parts, rows = [], source
+    for i, feature in enumerate(features):
+        done = [f"e{j}" for j in range(i)]
+        slopes = "".join(
+            f", coalesce(regr_slope({feature}, {e}), 0) AS s{j}" for j, e in enumerate(done)
+        )
+        minus = "".join(f" - s{j} * {e}" for j, e in enumerate(done))
+        parts.append(
+            f"{out}_f{i} AS MATERIALIZED (SELECT {by}, avg({feature}) AS m{slopes} FROM {rows} "
+            f"WHERE split = 'train' GROUP BY 1)"
+        )
+        parts.append(
+            f"{out}_r{i} AS MATERIALIZED (SELECT {rows}.*, {feature} - m{minus} AS e{i} "
+            f"FROM {rows} JOIN {out}_f{i} USING ({by}))"
+        )
+        rows = f"{out}_r{i}"
+    slopes = "".join(
+        f", coalesce(regr_slope({y}, e{j}), 0) AS c{j}" for j in range(len(features))
+    )
+    terms = "".join(f" + c{j} * e{j}" for j in range(len(features)))
+    parts.append(
+        f"{out}_fit AS MATERIALIZED (SELECT {by}, avg({y}) AS m{slopes} FROM {rows} "
+        "WHERE split = 'train' GROUP BY 1)"
+    )
+    parts.append(
+        f"{out} AS MATERIALIZED (SELECT {rows}.*, m{terms} AS p FROM {rows} "
+        f"JOIN {out}_fit USING ({by}))"
+    )
+    return ", ".join(parts)

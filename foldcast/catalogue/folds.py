@@ -8,13 +8,14 @@ from foldcast.catalogue.common import (
     DAILY_SQL, FOLD_YEARS, FOLDS_SQL, daily, query, r, round_columns, rounded, table,
 )
 from foldcast.operators.folds import (
-    assign_folds, fold_table, ordered_split as split_in_order, random_split as split_at_random,
+    assign_folds, fold_table, folds_of_years, ordered_split as split_in_order, random_split as split_at_random,
     shuffled_copies,
 )
 from foldcast.operators.scale import group_stats, merge_stats, scale_by_group
 from foldcast.plans import metadata as md
 from foldcast.plans.metadata import ColumnSpec, ColumnTable
 from foldcast.plans.preparation import prepare_folds
+from foldcast.session import materialise, small_table
 
 
 @query(
@@ -65,13 +66,13 @@ def fold_normalise(spark, sf_dir):
         F.year("l_shipdate").alias("year"),
     )
     year, measured = F.col("year"), ["l_quantity", "l_extendedprice"]
-    folds = fold_table(df, year, [3, 4], 1)
-    yearly = group_stats(df, measured, ["year"])
+    yearly = small_table(group_stats(df, measured, ["year"]))  # a row per year
+    folds = folds_of_years(spark, sorted(r.year for r in yearly.collect()), [3, 4], 1)
     train = merge_stats(
         yearly.join(F.broadcast(folds.where("split = 'train'")), "year"), measured, ["fold"]
     )
     rows = assign_folds(df, folds, year).drop("year")
-    scaled = scale_by_group(rows, train, ["fold"], ["l_extendedprice"], ["l_quantity"])
+    scaled = scale_by_group(rows, F.broadcast(train), ["fold"], ["l_extendedprice"], ["l_quantity"])
     return round_columns(scaled, measured)
 
 
@@ -182,7 +183,7 @@ def preparation_input(spark, sf_dir):
     FROM rows JOIN s ON rows.fold = s.fold""",
 )
 def fold_preparation(spark, sf_dir):
-    prepared = prepare_folds(
-        preparation_input(spark, sf_dir), PREPARED_TABLE, FOLD_YEARS, 1, lags=[7]
-    )
+    # The daily table is kept, so that each step does not sum the orders again.
+    days = materialise(preparation_input(spark, sf_dir), "daily")
+    prepared = prepare_folds(days, PREPARED_TABLE, FOLD_YEARS, 1, lags=[7])
     return round_columns(prepared.rows, ["y", "revenue", "x_c_m", "y_l7"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldcast.catalogue.common import (
-    DAILY_SQL, FOLD_YEARS, FOLDS_SQL, daily, panel, query, r, round_columns, table,
+    DAILY_SQL, FOLD_YEARS, FOLDS_SQL, PANEL_SQL, daily, ols_sql, panel, query, r, round_columns,
+    table,
 )
 from foldcast.functions.metrics import REGRESSION_SCORES, poisson_rms, rmse
 from foldcast.operators.folds import assign_folds, fold_table
@@ -118,8 +119,23 @@ def poisson_glm(spark, sf_dir):
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
 
 
-@query("gbt_regression")
+@query(
+    "gbt_regression",
+    f"""{_DAILY_FOLDS_SQL}, fit AS (
+      SELECT fold, weekday, avg(y) AS p FROM rows WHERE split = 'train' GROUP BY 1, 2)
+    SELECT rows.fold, split, {_MODEL_SCORES_SQL}
+    FROM rows JOIN fit USING (fold, weekday) WHERE fold = 3 GROUP BY 1, 2""",
+)
 def gbt_regression(spark, sf_dir):
+    """On one feature with few values the first tree leaves only noise to the others."""
+    predicted, _ = fit_folds(
+        daily_folds(spark, sf_dir), ["weekday"], "y", "boosted", [3], max_depth=6, rounds=3
+    )
+    return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
+
+
+@query("gbt_panel")
+def gbt_panel(spark, sf_dir):
     predicted, _ = fit_folds(
         panel_folds(spark, sf_dir), _PANEL_FEATURES, "y", "boosted", FOLD_YEARS[:1],
         max_depth=3, rounds=5,
@@ -127,7 +143,18 @@ def gbt_regression(spark, sf_dir):
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
 
 
-@query("panel_regression")
+@query(
+    "panel_regression",
+    f"""WITH {PANEL_SQL}, {FOLDS_SQL}, rows AS MATERIALIZED (
+      SELECT CAST(fold AS INTEGER) AS fold, split, CAST(a.y AS DOUBLE) AS y, b.y AS y_d7,
+             c.y AS y_d364, dayofweek(a.d) + 1 AS weekday, month(a.d) AS month,
+             CASE WHEN month(a.d) IN (7, 8) THEN 1 ELSE 0 END AS summer
+      FROM panel a JOIN panel b ON a.entity = b.entity AND a.d = b.d + 7
+           JOIN panel c ON a.entity = c.entity AND a.d = c.d + 364
+           JOIN folds ON year(a.d) = year),
+    {ols_sql('rows', _PANEL_FEATURES, 'y', 'fitted')}
+    SELECT fold, split, {_MODEL_SCORES_SQL} FROM fitted GROUP BY 1, 2""",
+)
 def panel_regression(spark, sf_dir):
     predicted, _ = fit_folds(
         panel_folds(spark, sf_dir), _PANEL_FEATURES, "y", "linear", FOLD_YEARS
@@ -135,7 +162,25 @@ def panel_regression(spark, sf_dir):
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
 
 
-@query("seasonal_regression")
+def _term_sql() -> dict[str, str]:
+    number = "CAST(date_diff('day', DATE '1995-01-01', d) AS DOUBLE)"
+    terms = {"trend": f"{number} / 365.25::DOUBLE"}
+    for name, period, order in (("week", "7.0", 3), ("year", "365.25", 10)):
+        for k in range(1, order + 1):
+            for f in ("sin", "cos"):
+                terms[f"{name}_{f}{k}"] = f"{f}({number} * 2 * pi() * {k} / {period}::DOUBLE)"
+    return terms
+
+
+@query(
+    "seasonal_regression",
+    f"""WITH {DAILY_SQL}, {FOLDS_SQL}, rows AS MATERIALIZED (
+      SELECT CAST(fold AS INTEGER) AS fold, split, CAST(y AS DOUBLE) AS y,
+             {', '.join(f'{sql} AS {name}' for name, sql in _term_sql().items())}
+      FROM daily JOIN folds ON year(d) = year),
+    {ols_sql('rows', list(_term_sql()), 'y', 'fitted')}
+    SELECT fold, split, {_MODEL_SCORES_SQL} FROM fitted GROUP BY 1, 2""",
+)
 def seasonal_regression(spark, sf_dir):
     df = daily(spark, sf_dir).select("d", "y")
     terms = seasonal_terms(F.col("d"))
@@ -185,13 +230,47 @@ def _line_splits(spark, sf_dir):
     return df.withColumn("split", F.when(late, "valid").otherwise("train"))
 
 
-@query("forward_selection")
+def _search_sql(forward: bool) -> str:
+    """Fit every subset of the features, then walk from step to step."""
+    k = len(_LINE_FEATURES)
+    chains, listed = [], []
+    for mask in range(2**k):
+        chosen = [f for i, f in enumerate(_LINE_FEATURES) if mask >> i & 1]
+        chains.append(ols_sql("rows", chosen, "y", f"o{mask}", by="one"))
+        listed.append(
+            f"SELECT {mask} AS mask, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS score "
+            f"FROM o{mask} WHERE split = 'valid'"
+        )
+    names = ", ".join(f"({1 << i}, '{f}')" for i, f in enumerate(_LINE_FEATURES))
+    start = 0 if forward else 2**k - 1
+    steps = [f"w0 AS (SELECT {start} AS mask, '' AS feature, 0.0::DOUBLE AS score)"]
+    for step in range(1, k + 1):
+        change = "|" if forward else "-"
+        wanted = "= 0" if forward else "<> 0"
+        steps.append(
+            f"w{step} AS MATERIALIZED (SELECT s.mask, f.feature, s.score FROM w{step - 1} w, "
+            f"features f, scores s WHERE (w.mask & f.bit) {wanted} AND s.mask = (w.mask {change} f.bit) "
+            "ORDER BY s.score DESC, f.feature LIMIT 1)"
+        )
+    walked = " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS step, feature, {r('score')} AS score FROM w{i}"
+        for i in range(1, k + 1)
+    )
+    return (
+        "WITH rows AS MATERIALIZED (SELECT 1 AS one, CASE WHEN l_shipdate >= DATE '2000-01-01' "
+        f"THEN 'valid' ELSE 'train' END AS split, l_extendedprice AS y, {', '.join(_LINE_FEATURES)} "
+        f"FROM lineitem), {', '.join(chains)}, scores AS MATERIALIZED ({' UNION ALL '.join(listed)}), "
+        f"features(bit, feature) AS (VALUES {names}), {', '.join(steps)} {walked}"
+    )
+
+
+@query("forward_selection", _search_sql(forward=True))
 def forward_selection(spark, sf_dir):
     out = add_features(_line_splits(spark, sf_dir), _LINE_FEATURES, "l_extendedprice")
     return round_columns(out, ["score"])
 
 
-@query("backward_selection")
+@query("backward_selection", _search_sql(forward=False))
 def backward_selection(spark, sf_dir):
     out = backward_elimination(_line_splits(spark, sf_dir), _LINE_FEATURES, "l_extendedprice")
     return round_columns(out, ["score"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldcast.catalogue.common import (
-    DAILY_SQL, LAGS, PANEL_SQL, daily, panel, query, r, round_columns, table, with_mask,
+    DAILY_SQL, LAGS, PANEL_SQL, daily, panel, query, r, round_columns,
+    segment_days, table, with_mask,
 )
 from foldcast.operators import rows
 from foldcast.operators.columns import complete_masks
@@ -120,11 +121,7 @@ def running_mean_baseline(spark, sf_dir):
     "date_diff('day', min(d), max(d)) + 1 = sum(y) AS consecutive FROM panel GROUP BY 1",
 )
 def day_continuity(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"))
-    customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("entity")
-    )
-    return rows.day_continuity(orders.join(customers, "o_custkey"), "d", ["entity"])
+    return rows.day_continuity(segment_days(spark, sf_dir), "d", ["entity"], count="n")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.functions.sampling import key_hash
@@ -14,33 +14,31 @@ from foldcast.operators.ordered import dense_index
 from foldcast.operators.ranks import at_or_after_rank
 
 
+def years_present(df: DataFrame, year: Column) -> list[int]:
+    """The calendar years in the data, in order (one scan of one column)."""
+    rows = df.select(year.cast("int").alias("year")).where("year is not null").distinct()
+    return sorted(r.year for r in rows.collect())
+
+
+def folds_of_years(
+    spark: SparkSession, years: Sequence[int], train_years: Sequence[int], valid_years: int = 1
+) -> DataFrame:
+    """(fold, split, year, complete): fold n trains on the first n years and is
+    validated on the next ``valid_years``. ``complete`` is false where the years end
+    before that. The table has a few rows per fold."""
+    rows = []
+    for n in train_years:
+        used = [("train", y) for y in years[:n]] + [("valid", y) for y in years[n:n + valid_years]]
+        complete = len(years) >= n + valid_years
+        rows += [(int(n), split, int(y), complete) for split, y in used]
+    return spark.createDataFrame(rows, "fold int, split string, year int, complete boolean")
+
+
 def fold_table(
     df: DataFrame, year: Column, train_years: Sequence[int], valid_years: int = 1
 ) -> DataFrame:
-    """(fold, split, year, complete): fold n trains on the first n years present and
-    is validated on the next ``valid_years``. ``complete`` is false where the data
-    ends before that. The table has a few rows per fold."""
-    years = df.select(year.cast("int").alias("year")).distinct().agg(
-        F.array_sort(F.collect_set("year")).alias("years")
-    )
-    sizes = F.array(*[F.lit(int(n)) for n in train_years])
-    fold, all_years = F.col("fold"), F.col("years")
-    parts = F.array(
-        F.struct(F.lit("train").alias("split"), F.slice(all_years, F.lit(1), fold).alias("ys")),
-        F.struct(
-            F.lit("valid").alias("split"),
-            F.slice(all_years, fold + 1, F.lit(valid_years)).alias("ys"),
-        ),
-    )
-    return (
-        years.select("years", F.explode(sizes).alias("fold"))
-        .select(
-            "fold",
-            (F.size("years") >= fold + valid_years).alias("complete"),
-            F.explode(parts).alias("part"),
-        )
-        .select("fold", "part.split", F.explode("part.ys").alias("year"), "complete")
-    )
+    """``folds_of_years`` for the years in the data."""
+    return folds_of_years(df.sparkSession, years_present(df, year), train_years, valid_years)
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, year: Column) -> DataFrame:
@@ -69,7 +67,7 @@ def _split_at(
     rank = _boundary(n, test_size, take_from_end)
     if rank == 0 or rank >= n:
         return _labelled(df, F.lit(rank == 0), take_from_end)
-    return _labelled(df, at_or_after_rank(df, order, rank), take_from_end)
+    return _labelled(df, at_or_after_rank(df, order, rank, n), take_from_end)
 
 
 def ordered_split(

@@ -18,11 +18,12 @@ from foldcast.operators.ranks import SMALL, exact_medians
 log = logging.getLogger(__name__)
 
 
-def count_nulls(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+def count_nulls(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, int]]:
+    """Rows, and nulls per column, in one pass."""
     if not columns:
-        return {}
-    row = df.agg(*[F.count_if(quoted(c).isNull()) for c in columns]).head()
-    return {c: row[i] for i, c in enumerate(columns)}
+        return 0, {}
+    row = df.agg(F.count(F.lit(1)), *[F.count_if(quoted(c).isNull()) for c in columns]).head()
+    return row[0], {c: row[i + 1] for i, c in enumerate(columns)}
 
 
 def _masked(
@@ -41,16 +42,20 @@ def mask_nulls(
     df: DataFrame, columns: Sequence[str] | None = None, suffix: str = MASK_SUFFIX
 ) -> DataFrame:
     """A 0/1 column beside each column that has a null; the nulls stay."""
-    nulls = count_nulls(df, list(columns or df.columns))
+    _, nulls = count_nulls(df, list(columns or df.columns))
     return _masked(df, [c for c, n in nulls.items() if n], {}, suffix)
 
 
 def learn_medians(
-    df: DataFrame, columns: Sequence[str], exact: bool = True, small: int = SMALL
+    df: DataFrame,
+    columns: Sequence[str],
+    exact: bool = True,
+    small: int = SMALL,
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, float]:
     numeric = [c for c in columns if is_numeric(df, c)]
     if exact:
-        return exact_medians(df, numeric, small)
+        return exact_medians(df, numeric, small, counts)
     if not numeric:
         return {}
     row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), 0.5) for c in numeric]).head()
@@ -69,14 +74,15 @@ def mask_null_median(
     Text columns get the mask only. ``learn_from`` takes the medians from other
     rows, such as the training rows.
     """
-    source = df if learn_from is None else learn_from
-    nulls = count_nulls(df, list(columns or df.columns))
+    total, nulls = count_nulls(df, list(columns or df.columns))
     masked = [c for c, n in nulls.items() if n]
     log.info("nulls before the median fill: %d", sum(nulls.values()))
-    medians = learn_medians(source, masked, exact)
-    filled = _masked(df, masked, medians, suffix)
+    if learn_from is None:
+        medians = learn_medians(df, masked, exact, counts={c: total - nulls[c] for c in masked})
+    else:
+        medians = learn_medians(learn_from, masked, exact)
     # An integer column becomes double, since its median may lie between two values.
-    return filled
+    return _masked(df, masked, medians, suffix)
 
 
 def _present(df: DataFrame, columns: Sequence[str] | None) -> list[str]:

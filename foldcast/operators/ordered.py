@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.columns import quoted, require
-from foldcast.session import materialise
+from foldcast.session import checked_broadcast, materialise
 
 _POSITION_BITS = 33  # of monotonically_increasing_id
 
@@ -59,7 +59,7 @@ def dense_index(
         first = indexed.groupBy(*map(quoted, keys)).agg(F.min(name).alias("_first"))
         indexed = (
             indexed.alias("_r")
-            .join(first.alias("_k"), _all_equal("_r", "_k", keys))
+            .join(checked_broadcast(first, "first").alias("_k"), _all_equal("_r", "_k", keys))
             .select("_r.*", F.col("_k._first").alias("_first"))
             .withColumn(name, F.col(name) - F.col("_first"))
         )

@@ -9,7 +9,7 @@ distinct values of one small bracket.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,28 +59,23 @@ def values_at_ranks(
     keys: dict[str, Column],
     ranks: Callable[[int], Sequence[int]],
     small: int = SMALL,
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, dict]:
     """Per named key: ``n`` non-null values, and ``values`` as (value, below, equal)
-    for each wanted 0-based ascending rank. ``ranks`` maps n to the wanted ranks."""
+    for each wanted 0-based ascending rank. ``ranks`` maps n to the wanted ranks,
+    which should lie close together. ``counts`` gives n per key where it is known."""
     names = list(keys)
     if not names:
         return {}
-    # Spark numbers the columns, so any name may be used.
-    first = df.agg(
-        *[
-            agg
-            for name in names
-            for agg in (F.count(keys[name]), F.approx_count_distinct(keys[name]))
-        ]
-    ).head()
-    counts = {name: first[2 * i] for i, name in enumerate(names)}
+    if counts is None:
+        # Spark numbers the columns, so any name may be used.
+        row = df.agg(*[F.count(keys[name]) for name in names]).head()
+        counts = {name: row[i] for i, name in enumerate(names)}
     wanted = {
         name: sorted({r for r in ranks(counts[name]) if 0 <= r < counts[name]}) for name in names
     }
-    brackets = {
-        name: _Bracket(None, None, 0, counts[name], first[2 * i + 1])
-        for i, name in enumerate(names)
-    }
+    # Until a bracket is counted, its rows bound its distinct values.
+    brackets = {name: _Bracket(None, None, 0, counts[name], counts[name]) for name in names}
     live = [name for name in names if wanted[name]]
     margin = {name: _MARGIN for name in live}
     while True:
@@ -171,7 +166,12 @@ def _finish(df, keys, wanted, brackets, names, found) -> None:
                 found[row["name"]]["values"][r] = (row.value, start, row.equal)
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL) -> dict[str, float]:
+def exact_medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    small: int = SMALL,
+    counts: Mapping[str, int] | None = None,
+) -> dict[str, float]:
     """Median of the non-null values per column, the middle two averaged; a column
     without values is left out."""
     found = values_at_ranks(
@@ -179,6 +179,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL) ->
         {c: rank_key(df, c) for c in columns},
         lambda n: [(n - 1) // 2, n // 2] if n else [],
         small,
+        counts,
     )
     out = {}
     for name, hit in found.items():
@@ -190,10 +191,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str], small: int = SMALL) ->
 
 
 def at_or_after_rank(
-    df: DataFrame, order: Sequence[str | Column], rank: int, small: int = SMALL
+    df: DataFrame, order: Sequence[str | Column], rank: int, n: int, small: int = SMALL
 ) -> Column:
     """A predicate true for exactly the rows whose 0-based rank in ``order`` is at
-    least ``rank``. Needs non-null order columns that are unique together.
+    least ``rank``. Needs the row count and non-null order columns that are unique
+    together.
 
     The boundary row is found column by column, so the split itself is a plain
     filter: no row is moved.
@@ -203,12 +205,13 @@ def at_or_after_rank(
     inside = df
     left = rank
     for key in keys:
-        hit = values_at_ranks(inside, {"k": key}, lambda _n, r=left: [r], small)["k"]
+        hit = values_at_ranks(inside, {"k": key}, lambda _n, r=left: [r], small, {"k": n})["k"]
         if left not in hit["values"]:
             raise ValueError(f"rank {rank} is out of range")
         value, below, equal = hit["values"][left]
         bounds.append(value)
         left -= below
+        n = equal
         if equal == 1:
             break
         inside = inside.where(key == value)

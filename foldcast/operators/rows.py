@@ -59,12 +59,14 @@ def missing_days(df: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def day_continuity(
-    df: DataFrame, day: str, keys: Sequence[str] = (), order: Column | None = None
+    df: DataFrame, day: str, keys: Sequence[str] = (), count: str | None = None
 ) -> DataFrame:
     """Per key: rows, first and last day, gaps and repeats, and whether the days
     run without either. Counts per (key, day) come first, so the window holds at
-    most one row per calendar day whatever the size of the data."""
-    per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_rows"))
+    most one row per calendar day whatever the size of the data. ``count`` names a
+    column that says how many rows an already counted row stands for."""
+    rows = F.count(F.lit(1)) if count is None else F.sum(count)
+    per_day = df.groupBy(*keys, day).agg(rows.alias("_rows"))
     step = F.datediff(F.col(day), F.lag(day).over(Window.partitionBy(*keys).orderBy(day)))
     out = (
         per_day.withColumn("_step", step)

@@ -48,6 +48,8 @@ def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 def group_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str | Column] = ()) -> DataFrame:
     """Per group: struct (n, mean, std, std_samp, min, max) per column."""
+    if not columns:
+        return df.select(*by).distinct()
     return df.groupBy(*by).agg(
         *[
             F.struct(
@@ -66,6 +68,8 @@ def group_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str | Column
 
 def merge_stats(stats: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Statistics of larger groups from those of their parts (small tables)."""
+    if not columns:
+        return stats.select(*by).distinct()
     whole = Window.partitionBy(*by)
     n = {c: quoted(c)["n"] for c in columns}
     mean = {c: F.sum(n[c] * quoted(c)["mean"]).over(whole) / F.nullif(F.sum(n[c]).over(whole), F.lit(0))
@@ -93,6 +97,8 @@ def merge_stats(stats: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
 def long_stats(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per group and column."""
     by = [c for c in stats.columns if c not in columns]
+    if not columns:
+        return stats.select(*by, F.lit(None).cast("string").alias("column")).limit(0)
     rows = F.array(
         *[F.struct(F.lit(c).alias("column"), quoted(c).alias("s")) for c in columns]
     )

@@ -58,14 +58,14 @@ def fold_summary(
     fold: str = "fold",
     folds: Sequence | None = None,
 ) -> DataFrame:
-    """Folds as columns, with mean and sample std over the folds."""
-    wide = scores.groupBy(*by).pivot(fold, list(folds) if folds is not None else None).agg(
-        F.first("value")
+    """Folds as columns, with mean and sample std over the folds, in one aggregate."""
+    if folds is None:
+        folds = sorted(r[0] for r in scores.select(fold).distinct().collect())
+    return scores.groupBy(*by).agg(
+        *[F.max(F.when(F.col(fold) == f, F.col("value"))).alias(str(f)) for f in folds],
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
     )
-    spread = scores.groupBy(*by).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
-    )
-    return wide.join(spread, list(by))
 
 
 def weighted_loss(

@@ -15,8 +15,8 @@ from foldcast.operators.columns import (
     quoted, remove_columns, reorder_columns, verify_columns,
 )
 from foldcast.operators.encode import onehot, onehot_range
-from foldcast.operators.folds import assign_folds, fold_table
-from foldcast.operators.impute import fill_mean, mask_null_median
+from foldcast.operators.folds import assign_folds, folds_of_years
+from foldcast.operators.impute import fill_mean, fill_values, mask_null_median
 from foldcast.operators.ordered import lag_name, lag_rows
 from foldcast.operators.scale import (
     Stats, group_stats, learn, long_stats, merge_stats, minmax_scaled, numeric_value, present,
@@ -24,7 +24,7 @@ from foldcast.operators.scale import (
 )
 from foldcast.plans import metadata as md
 from foldcast.plans.metadata import ColumnTable
-from foldcast.session import materialise
+from foldcast.session import materialise, small_table
 
 log = logging.getLogger(__name__)
 
@@ -75,19 +75,25 @@ def lag_features(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Row lags whose empty start is filled with the mean of the lagged column, after
-    scaling to mean 0 and std 1 if asked for."""
-    out = lag_rows(df, columns, lags, order, keys, template, transformation, chunk_rows)
+    scaling to mean 0 and std 1 if asked for.
+
+    The lagged rows are written once: their means need them all before the fill.
+    """
     names = [lag_name(c, n, template) for c in columns for n in lags]
     if not names:
-        return out
-    stats = learn(out, names)  # one aggregate serves the scaling and the filling
+        return df
+    lagged = lag_rows(df, columns, lags, order, keys, template, transformation, chunk_rows)
+    stored = materialise(lagged, "lags")
+    return fill_lags(stored, learn(stored, names), normalised)
+
+
+def fill_lags(df: DataFrame, stats: dict[str, Stats], normalised: bool = False) -> DataFrame:
+    means = {c: s.mean for c, s in stats.items()}
     if not normalised:
-        return fill_mean(out, names, {c: s.mean for c, s in stats.items()})
-    # A scaled column has mean 0 by construction; one without values stays null.
-    scaled = scale_std(out, names, stats)
-    return fill_mean(
-        scaled, names, {c: 0.0 for c, s in stats.items() if s.mean is not None}
-    ) if any(s.mean is not None for s in stats.values()) else scaled
+        return fill_mean(df, list(stats), means)
+    # A scaled column has mean 0; one without values stays null.
+    scaled = scale_std(df, list(stats), stats)
+    return fill_values(scaled, {c: 0.0 for c, m in means.items() if m is not None})
 
 
 def before_split(
@@ -102,6 +108,8 @@ def before_split(
 
     Medians and lag means come from the whole table; pass ``learn_from`` to take
     the medians from training rows only. The keys and the date are never filled.
+    The rows are written once; what is learnt after that, and all later steps,
+    read them from there.
     """
     unmatched = verify_columns(df, [*table.names, *keys])
     if any(unmatched.values()):
@@ -115,22 +123,20 @@ def before_split(
     df, declared = onehot_range(df, ranges)
     created = observed | declared
     table = table.replace_columns(created)
+    df = lag_rows(df, table.targets(), lags, [date], keys, LAG_TEMPLATE, None, chunk_rows)
+    stored = materialise(df, "pre_split")
+    lagged = [lag_name(c, n, LAG_TEMPLATE) for c in table.targets() for n in lags]
     indicators = [n for names in created.values() for n in names]
-    if indicators:
-        table = table.updated(_as_values(df, indicators))
-    if lags:
-        df = lag_features(df, table.targets(), lags, [date], keys, chunk_rows=chunk_rows)
-        table = table.with_lags(lags, LAG_TEMPLATE)
-    return df, table, unmatched
+    if lagged or indicators:
+        row = group_stats(stored, [*lagged, *indicators]).head()  # one pass for both
+        table = table.updated({c: _as_values(row[c]) for c in indicators})
+        stored = fill_mean(stored, lagged, {c: row[c]["mean"] for c in lagged})
+    return stored, table.with_lags(lags, LAG_TEMPLATE), unmatched
 
 
-def _as_values(df: DataFrame, names: Sequence[str]) -> dict[str, dict[str, float]]:
-    row = group_stats(df, names).head()
+def _as_values(stats) -> dict[str, float | None]:
     return {
-        c: {"mean": row[i]["mean"], "std": row[i]["std_samp"],
-            "min": float(row[i]["min"]), "max": float(row[i]["max"])}
-        for i, c in enumerate(names)
-        if row[i]["n"]
+        "mean": stats["mean"], "std": stats["std_samp"], "min": stats["min"], "max": stats["max"]
     }
 
 
@@ -156,23 +162,19 @@ def apply_folds(
     """
     if null_scope not in ("split", "train"):
         raise ValueError("null_scope must be 'split' or 'train'")
-    year = year_of(df, table.date_column())
-    folds = fold_table(df, year, train_years, valid_years)
+    spark, year = df.sparkSession, year_of(df, table.date_column())
     std = present(df, table.normalised(md.STD))
     minmax = present(df, table.normalised(md.MINMAX))
     zero = present(df, table.null_policy(md.ZERO))
     mean = [c for c in present(df, table.null_policy(md.MEAN)) if c not in zero]
     measured = list(dict.fromkeys([*std, *minmax, *mean, *present(df, table.with_statistics())]))
+    # Rows per year, then per fold and split: small tables, worked out once.
+    yearly = small_table(group_stats(df, measured, [year.cast("int").alias("year")]))
+    years = sorted(r.year for r in yearly.select("year").collect() if r.year is not None)
+    folds = folds_of_years(spark, years, train_years, valid_years)
     rows = assign_folds(df, folds, year)
-    if not measured:
-        return _filled_zero(rows, zero), rows.sparkSession.createDataFrame(
-            [], "fold int, column string"
-        )
-    yearly = group_stats(df, measured, [year.cast("int").alias("year")])
-    by_split = merge_stats(
-        yearly.join(F.broadcast(folds.select("fold", "split", "year")), "year"),
-        measured,
-        ["fold", "split"],
+    by_split = small_table(
+        merge_stats(yearly.join(F.broadcast(folds), "year"), measured, ["fold", "split"])
     )
     train = by_split.where("split = 'train'").drop("split")
     learnt = train.select("fold", *[quoted(c).alias(f"_s_{c}") for c in measured])
@@ -209,16 +211,6 @@ def apply_folds(
     return rows, long_stats(train, measured)
 
 
-def _filled_zero(rows: DataFrame, zero: Sequence[str]) -> DataFrame:
-    return rows.select(
-        "fold", "split",
-        *[
-            F.coalesce(quoted(c), F.lit(0)).alias(c) if c in zero else quoted(c)
-            for c in rows.columns if c not in ("fold", "split")
-        ],
-    )
-
-
 def prepare_folds(
     df: DataFrame,
     table: ColumnTable,
@@ -229,11 +221,11 @@ def prepare_folds(
     null_scope: str = "split",
     steps: Steps | None = None,
 ) -> Prepared:
-    """The whole preparation. The table before the split is written to the shared
-    folder once, since the statistics and the rows both read it."""
+    """The whole preparation. It reads ``df`` a few times to learn medians and
+    categories, so pass a table, or the result of ``materialise``."""
     steps = steps or Steps()
     ready, table, unmatched = before_split(df, table, lags, keys)
-    ready = steps.keep("pre_split", materialise(ready, "pre_split"))
+    steps.keep("pre_split", ready)
     rows, statistics = apply_folds(ready, table, train_years, valid_years, null_scope)
     rows = reorder_columns(
         rows,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "foldcast", **conf: str) -> SparkSession:
@@ -43,8 +44,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_created: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/foldcast/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/foldcast/{label}-{uuid.uuid4().hex}"
+    _created.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables this process has written to the shared folder; returns their
+    number. Call it when no frame that reads them is needed any more."""
+    deleted = 0
+    while _created:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_created.pop())
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        deleted += bool(files.delete(path, True))
+    return deleted
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -56,3 +73,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """A table with a known small number of rows, such as one per year or fold, worked
+    out now, so that a plan that uses it several times does not repeat its scan."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def checked_broadcast(df: DataFrame, label: str, max_rows: int = 200_000) -> DataFrame:
+    """The right side of a join: worked out once, counted, and broadcast only if it is
+    small. A larger one is joined by a shuffle, in which AQE splits hot keys."""
+    stored = materialise(df, label)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
