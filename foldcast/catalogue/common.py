@@ -185,7 +185,8 @@ def ols_sql(source: str, features, y: str, out: str, by: str = "fold") -> str:
     for i, feature in enumerate(features):
         done = [f"e{j}" for j in range(i)]
         slopes = "".join(
-            f", coalesce(regr_slope({feature}, {e}), 0) AS s{j}" for j, e in enumerate(done)
+            f", CASE WHEN var_pop({e}) > 1e-12 THEN regr_slope({feature}, {e}) ELSE 0 END AS s{j}"
+            for j, e in enumerate(done)
         )
         minus = "".join(f" - s{j} * {e}" for j, e in enumerate(done))
         parts.append(
@@ -198,7 +199,8 @@ def ols_sql(source: str, features, y: str, out: str, by: str = "fold") -> str:
         )
         rows = f"{out}_r{i}"
     slopes = "".join(
-        f", coalesce(regr_slope({y}, e{j}), 0) AS c{j}" for j in range(len(features))
+        f", CASE WHEN var_pop(e{j}) > 1e-12 THEN regr_slope({y}, e{j}) ELSE 0 END AS c{j}"
+        for j in range(len(features))
     )
     terms = "".join(f" + c{j} * e{j}" for j in range(len(features)))
     parts.append(

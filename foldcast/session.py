@@ -27,6 +27,9 @@ def local_session(cores: int | str = "*", app: str = "foldcast", **conf: str) ->
     return spark
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -39,9 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="foldcast-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="foldcast-"))
+    return _local_folder[0]
 
 
 _created: list[str] = []
