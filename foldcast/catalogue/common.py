@@ -34,8 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
-    """Rounded, and never a negative zero, so that engines agree on the bits."""
-    return F.round(value, digits) + F.lit(0.0)
+    """Rounded half to even, and never a negative zero, so that engines agree on the
+    bits. ``round`` would go through a decimal for every value."""
+    scale = F.lit(10.0**digits)
+    return F.rint(value * scale) / scale + F.lit(0.0)
 
 
 def round_columns(df: DataFrame, names, digits: int = 6) -> DataFrame:
@@ -139,7 +141,8 @@ folds AS (
 
 
 def r(sql: str, digits: int = 6) -> str:
-    return f"(round({sql}, {digits}) + 0.0)"
+    scale = f"1e{digits}"
+    return f"(round_even(({sql}) * {scale}, 0) / {scale} + 0.0)"
 
 
 def metric_sql(

@@ -160,7 +160,7 @@ def preparation_input(spark, sf_dir):
     "fold_preparation",
     f"""WITH {DAILY_SQL}, {FOLDS_SQL},
     raw AS (
-      SELECT d, y, y_mask, CASE WHEN excel_day % 17 = 0 THEN NULL ELSE round(revenue, 2) END AS rev,
+      SELECT d, y, y_mask, CASE WHEN excel_day % 17 = 0 THEN NULL ELSE {r('revenue', 2)} END AS rev,
              month(d) AS m, quarter(d) AS q, dayofweek(d) IN (0, 6) AS weekend FROM daily),
     filled AS (
       SELECT d, y, y_mask, coalesce(rev, (SELECT median(rev) FROM raw)) AS rev,

@@ -136,12 +136,12 @@ def missing_days(spark, sf_dir):
 
 @query(
     "sequence_blocks",
-    """WITH placed AS (
+    f"""WITH placed AS (
       SELECT user_id, event_id, value,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
     SELECT user_id, i // 5 AS block, (i // 5) // 4 AS batch, CAST(count(*) AS INTEGER) AS n,
            arg_min(event_id, i) AS first_id, arg_max(event_id, i) AS last_id,
-           round(sum(value), 4) + 0.0 AS total
+           {r('sum(value)', 4)} AS total
     FROM placed GROUP BY 1, 2, 3""",
 )
 def event_blocks(spark, sf_dir):

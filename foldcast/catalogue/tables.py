@@ -412,7 +412,7 @@ COLUMN_TABLE = ColumnTable.of(
     ]
 )
 _WIDE_SQL = f"""WITH {PANEL_SQL}, wide AS (
-  SELECT entity, d, y, y_mask, excel_day, round(revenue, 2) + 0.0 AS revenue,
+  SELECT entity, d, y, y_mask, excel_day, {r('revenue', 2)} AS revenue,
          CAST(month(d) AS INTEGER) AS x_c_m, CAST(dayofweek(d) + 1 AS INTEGER) AS x_c_wd,
          y * 2 AS x_w_11_6003_l0, y + 1 AS x_w_12_6003_l0,
          CASE WHEN month(d) IN (7, 8) THEN 1 ELSE 0 END AS x_v_summer,

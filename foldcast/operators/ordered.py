@@ -139,7 +139,7 @@ def lag_indexed(
     before, after = max(0, *shifts), max(0, *[-s for s in shifts])
     size = max(chunk_rows, before, after, 1)
     offset = F.col("_idx") % size
-    chunk = F.floor(F.col("_idx") / size)
+    chunk = F.expr(f"_idx div {size}")
     copies = F.array_compact(
         F.array(
             chunk,
@@ -170,7 +170,7 @@ def sequence_blocks(
     if steps < 1:
         raise ValueError("steps must be positive")
     indexed = dense_index(df, order, keys, "_idx").withColumn(
-        "block", F.floor(F.col("_idx") / steps)
+        "block", F.expr(f"_idx div {steps}")
     )
     record = F.struct("_idx", *[quoted(v) for v in values])
     blocks = (
@@ -188,7 +188,7 @@ def sequence_blocks(
     if drop_remainder:
         blocks = blocks.where(F.col("n") == steps)
     if batch_blocks:
-        blocks = blocks.withColumn("batch", F.floor(F.col("block") / batch_blocks))
+        blocks = blocks.withColumn("batch", F.expr(f"block div {batch_blocks}"))
     return blocks
 
 
