@@ -124,19 +124,22 @@ def mean_baseline(spark, sf_dir):
     return round_columns(out, ["intercept", "RMSE", "PRMS"])
 
 
-@query(
-    "poisson_noise_floor",
-    f"""WITH {DAILY_SQL}, u AS (
+_DRAWS_SQL = """u AS (
       SELECT d, CAST(y AS DOUBLE) AS y,
              ('0x' || substr(md5(CAST(d AS VARCHAR) || '|42'), 1, 13))::BIGINT
                / 4503599627370496.0::DOUBLE AS u FROM daily),
     terms AS (
       SELECT d, y, u, k, exp(k * ln(y) - y - lgamma(k + 1.0::DOUBLE)) AS pmf
-      FROM u, (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 700)) ks
+      FROM u, (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 900)) ks
       WHERE k <= y + 12 * sqrt(y) + 30),
     cdf AS (
       SELECT d, y, u, k, sum(pmf) OVER (PARTITION BY d ORDER BY k) AS upto FROM terms),
-    draws AS (SELECT d, y, min(k) AS p FROM cdf WHERE upto > u GROUP BY 1, 2)
+    draws AS (SELECT d, y, min(k) AS p FROM cdf WHERE upto > u GROUP BY 1, 2)"""
+
+
+@query(
+    "poisson_noise_floor",
+    f"""WITH {DAILY_SQL}, {_DRAWS_SQL}
     SELECT CAST(year(d) AS INTEGER) AS year, CAST(sum(p) AS BIGINT) AS drawn,
            {scores_sql(offsets=_OFFSET_SQL)} FROM draws GROUP BY 1""",
 )
@@ -199,6 +202,7 @@ def _loss_sql(kind: str, y: str, z: str) -> str:
 def _with_logits(spark, sf_dir):
     df = lag_days(daily(spark, sf_dir), ["y", "revenue"], [7], "d")
     return df.select(
+        "d",
         F.year("d").alias("year"),
         F.col("y").cast("double").alias("y"),
         (F.col("revenue") / 1e5).alias("rev"),
@@ -219,6 +223,19 @@ def losses_from_logits(spark, sf_dir):
     return round_columns(out, list(LOSSES))
 
 
+@query(
+    "losses_resampled",
+    f"""{_Z_SQL}, {_DRAWS_SQL}
+    SELECT CAST(year(z.d) AS INTEGER) AS year, {r(_loss_sql('MSE', 'p', 'z'))} AS "RdMSE",
+           {r(_loss_sql('Poisson', 'p', 'z'))} AS "RdPoisson"
+    FROM z JOIN draws ON z.d = draws.d GROUP BY 1""",
+)
+def losses_resampled(spark, sf_dir):
+    df = _with_logits(spark, sf_dir)
+    out = sc.resampled_losses(df, F.col("y"), F.col("z"), ["d"], ["year"])
+    return round_columns(out, ["RdMSE", "RdPoisson"])
+
+
 @query(
     "weighted_loss",
     f"{_Z_SQL} SELECT CAST(year(d) AS INTEGER) AS year, {r(_loss_sql('Poisson', 'y', 'z'))} "

@@ -12,7 +12,7 @@ from foldcast.operators import rows
 from foldcast.operators.columns import complete_masks
 from foldcast.operators.ordered import lag_rows, sequence_blocks
 from foldcast.operators.profile import day_extent
-from foldcast.operators.series import lag_days, running_mean
+from foldcast.operators.series import lag_days, long_series, running_mean
 from foldcast.plans.preparation import lag_features as filled_lags
 
 _ROW_LAGS = [1, 7, -1]
@@ -178,19 +178,8 @@ _FIRST, _LAST = "1996-01-01", "1999-12-31"
 def series_long(spark, sf_dir):
     df = daily(spark, sf_dir).select("d", "y")
     wide = lag_days(df, ["y"], LAGS, "d", template="lag {n}")
-    names = [f"lag {n}" for n in LAGS]
-    predicted = wide.select(
-        "d",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("series"), F.col(n).cast("double").alias("value"))
-                    for n in names
-                ]
-            )
-        ),
-    ).where("value is not null")
-    actual = df.select("d", F.lit("actual").alias("series"), F.col("y").cast("double").alias("value"))
+    predicted = long_series(wide, "d", {f"lag {n}": F.col(f"lag {n}") for n in LAGS})
+    actual = long_series(df, "d", {"actual": F.col("y")})
     return rows.between_days(actual.unionByName(predicted), "d", _FIRST, _LAST)
 
 

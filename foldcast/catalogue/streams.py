@@ -14,10 +14,9 @@ _NO_PLL = {k: v for k, v in SCORES.items() if k != "PLL"}
 
 
 def event_stream(spark, sf_dir):
+    """The pattern takes the table as one file or as a folder of files."""
     schema = table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
 @query(

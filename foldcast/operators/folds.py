@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from foldcast.functions.sampling import key_hash
 from foldcast.operators.columns import quoted
+from foldcast.operators.joins import join_on
 from foldcast.operators.ordered import dense_index
 from foldcast.operators.ranks import at_or_after_rank
+from foldcast.session import checked_broadcast
 
 
 def years_present(df: DataFrame, year: Column) -> list[int]:
@@ -85,12 +87,12 @@ def ordered_split(
     if not keys:
         return _split_at(df, order, test_size, take_from_end)
     indexed = dense_index(df, order, keys, "_idx")
-    sizes = indexed.groupBy(*keys).agg((F.max("_idx") + 1).alias("_n"))
+    sizes = indexed.groupBy(*map(quoted, keys)).agg((F.max("_idx") + 1).alias("_n"))
     test = F.ceil(F.col("_n") * F.lit(test_size))
     start = F.col("_n") - test if take_from_end else test
-    return _labelled(
-        indexed.join(sizes, list(keys)), F.col("_idx") >= start, take_from_end
-    ).drop("_idx", "_n")
+    sized = join_on(indexed, checked_broadcast(sizes, "sizes"), keys)
+    labelled = _labelled(sized, F.col("_idx") >= start, take_from_end)
+    return labelled.select(*[quoted(c) for c in df.columns], "split")
 
 
 def random_split(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.columns import quoted, require
+from foldcast.operators.joins import join_on
 from foldcast.session import checked_broadcast, materialise
 
 _POSITION_BITS = 33  # of monotonically_increasing_id
@@ -57,22 +58,12 @@ def dense_index(
     )
     if keys:
         first = indexed.groupBy(*map(quoted, keys)).agg(F.min(name).alias("_first"))
-        indexed = (
-            indexed.alias("_r")
-            .join(checked_broadcast(first, "first").alias("_k"), _all_equal("_r", "_k", keys))
-            .select("_r.*", F.col("_k._first").alias("_first"))
-            .withColumn(name, F.col(name) - F.col("_first"))
+        indexed = join_on(indexed, checked_broadcast(first, "first"), keys).withColumn(
+            name, F.col(name) - F.col("_first")
         )
     return indexed.select(*[quoted(c) for c in df.columns], F.col(name))
 
 
-def _all_equal(left: str, right: str, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & F.col(f"{left}.`{n}`").eqNullSafe(F.col(f"{right}.`{n}`"))
-    return condition
-
-
 def lag_name(column: str, shift: int, template: str) -> str:
     return template.format(col=column, n=shift)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from foldcast.functions.dates import day_range
 from foldcast.operators.columns import quoted
+from foldcast.operators.joins import join_on
 
 
 def split_by_values(
@@ -55,7 +56,7 @@ def calendar(df: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame:
 def missing_days(df: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame:
     """Days between the first and the last that the data lacks, per key."""
     present = df.select(*keys, day).distinct()
-    return calendar(present, day, keys).join(present, [*keys, day], "left_anti")
+    return join_on(calendar(present, day, keys), present, [*keys, day], "left_anti")
 
 
 def day_continuity(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.columns import is_numeric, quoted
+from foldcast.operators.joins import join_on
 
 log = logging.getLogger(__name__)
 
@@ -181,7 +182,7 @@ def scale_by_group(
     ``merge_stats``. Spark broadcasts the statistics when they are small."""
     names = [*std, *minmax]
     right = stats.select(*by, *[quoted(c).alias(f"_s_{c}") for c in names])
-    joined = df.join(right, list(by), "left")
+    joined = join_on(df, right, list(by), "left")
     new = {c: std_scaled(numeric_value(df, c), quoted(f"_s_{c}")["mean"], quoted(f"_s_{c}")["std"])
            for c in std}
     new |= {
@@ -200,7 +201,7 @@ def upsert_stats(
     new = fresh.select(
         *keys, *[quoted(c).alias(f"_new_{c}") for c in values if c in fresh.columns]
     )
-    return stored.join(new, list(keys), "full_outer").select(
+    return join_on(stored, new, list(keys), "full_outer").select(
         *keys,
         *[
             F.coalesce(quoted(f"_new_{c}"), quoted(c)).alias(c) if c in fresh.columns else quoted(c)

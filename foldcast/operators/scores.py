@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.functions.metrics import LOSSES, SCORES, Metric, score_columns
+from foldcast.functions.sampling import poisson_sample
 from foldcast.functions.text import weight_map
 from foldcast.operators.columns import quoted
 
@@ -100,6 +101,23 @@ def weighted_loss(
     return losses.withColumn("loss", total)
 
 
+def resampled_losses(
+    df: DataFrame,
+    y: Column,
+    z: Column,
+    keys: Sequence[str],
+    by: Sequence[str] = (),
+    losses: Mapping[str, Metric] = LOSSES,
+    seed: int = 42,
+) -> DataFrame:
+    """Each loss against a Poisson draw around the actual value in place of the value
+    itself, named with ``Rd`` before it. The draw is fixed by the row's key."""
+    drawn = df.withColumn("_drawn", poisson_sample(y, keys, seed))
+    return drawn.groupBy(*by).agg(
+        *[loss(F.col("_drawn"), z).alias(f"Rd{name}") for name, loss in losses.items()]
+    )
+
+
 def mean_importance(
     importances: DataFrame, threshold: float = 1e-3
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.columns import quoted
+from foldcast.operators.joins import join_on
 
 
 def daily_series(
@@ -64,7 +65,7 @@ def lag_days_joined(
         F.date_add(quoted(day), lag).alias(day),
         *[quoted(c).alias(template.format(col=c, n=lag)) for c in columns],
     )
-    return df.join(earlier, [*keys, day], "left")
+    return join_on(df, earlier, [*keys, day], "left")
 
 
 def running_mean(
@@ -90,4 +91,17 @@ def lagged_pairs(
     source = df.select(
         *keys, quoted(day).alias("_source"), quoted(column).cast("double").alias("p")
     )
-    return wanted.join(source, [*keys, "_source"], "left").drop("_source")
+    return join_on(wanted, source, [*keys, "_source"], "left").drop("_source")
+
+
+def long_series(
+    df: DataFrame, day: str, series: Mapping[str, Column], keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, day, series, value): one row per day and named series, without the days on
+    which a series has no value. A prediction on the log scale is passed as ``exp`` of
+    its column, once."""
+    entries = [
+        F.struct(F.lit(name).alias("series"), value.cast("double").alias("value"))
+        for name, value in series.items()
+    ]
+    return df.select(*keys, day, F.inline(F.array(*entries))).where("value is not null")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foldcast.functions.metrics import REGRESSION_SCORES, Metric
 from foldcast.operators.columns import known_numbers, quoted
-from foldcast.operators.scores import score
+from foldcast.operators.scores import long_scores, score
 
 FEATURES = "_features"
 PREDICTION = "p"
@@ -119,6 +119,16 @@ def fold_scores(
     return score(predicted, quoted(target), F.col(PREDICTION), by, metrics)
 
 
+def score_table(
+    scores: DataFrame, dataset: str, target: str, model: str, features: Sequence[str],
+    metrics: Sequence[str] = tuple(REGRESSION_SCORES),
+) -> DataFrame:
+    """Scores in the stored form: a labelled row per fold, split and metric."""
+    labels = {"dataset": dataset, "target": target, "model": model, "features": "_".join(features)}
+    long = long_scores(scores.drop("n"), metrics)
+    return long.withColumns({name: F.lit(value) for name, value in labels.items()})
+
+
 def apply_stored(path: str, rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Predictions of a stored model."""
     return PipelineModel.load(path).transform(usable_rows(rows, features, target)).drop(FEATURES)

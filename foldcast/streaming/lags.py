@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.operators.columns import quoted
+from foldcast.operators.joins import join_on
 from foldcast.operators.ordered import dense_index, lag_indexed
 from foldcast.session import fresh_path
 
@@ -53,7 +54,7 @@ def run_row_lags(
             f"{path}/table/batch={number}"
         )
         last = placed.groupBy(*map(quoted, keys)).agg(F.max("_idx").alias("_last"))
-        kept = placed.join(last, list(keys)).where(F.col("_idx") > F.col("_last") - depth)
+        kept = join_on(placed, last, keys).where(F.col("_idx") > F.col("_last") - depth)
         kept.select(*map(quoted, columns_in), F.col("_idx").alias("_pos")).write.mode("overwrite").parquet(
             f"{path}/carried/{number}"
         )

@@ -16,8 +16,7 @@ def connections():
     open_ = {}
     for sf_dir in (SMALL, LARGER):
         open_[sf_dir] = duckdb.connect()
-        for t in check_oracles.TABLES:
-            open_[sf_dir].sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        check_oracles.create_views(open_[sf_dir], sf_dir)
     yield open_
     for con in open_.values():
         con.close()
