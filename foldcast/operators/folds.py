@@ -104,20 +104,28 @@ def random_split(
 
 
 def shuffled_copies(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str], seed: int = 42
+    df: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    seed: int = 42,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Per column an independent random permutation ``<col>_fake`` of its values, as
     a control for feature importance: row k in key order gets the value of row k in
-    hash order."""
-    out = dense_index(df, keys, name="_own")
+    hash order. ``within`` keeps each permutation inside its group; the keys must
+    identify a row there."""
+    place = [*within, "_own"]
+    identity = [k for k in keys if k not in within]
+    out = dense_index(df, identity, within, "_own")
     for column in columns:
         hashed = df.select(
-            *[quoted(k) for k in keys],
-            key_hash(keys, f"{seed}{column}").alias("_hash"),
+            *[quoted(c) for c in [*within, *identity]],
+            key_hash([quoted(c) for c in [*within, *identity]], f"{seed}{column}").alias("_hash"),
             quoted(column).alias(f"{column}_fake"),
         )
-        drawn = dense_index(hashed, ["_hash", *keys], name="_own").select(
-            "_own", f"{column}_fake"
+        drawn = dense_index(hashed, ["_hash", *identity], within, "_own").select(
+            *[quoted(c) for c in place], quoted(f"{column}_fake")
         )
-        out = out.join(drawn, "_own")
-    return out.drop("_own")
+        out = join_on(out, drawn, place)
+    names = [*df.columns, *[f"{c}_fake" for c in columns]]
+    return out.select(*[quoted(n) for n in names])

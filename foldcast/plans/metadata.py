@@ -171,9 +171,11 @@ class ColumnTable:
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(asdict(s).values()) for s in self.specs], SCHEMA)
 
-    def write(self, spark: SparkSession, path: str, delimiter: str = ";") -> None:
-        named = self.to_df(spark).withColumnsRenamed(HEADERS)
-        named.coalesce(1).write.option("sep", delimiter).option("header", True).csv(path)
+    def write(
+        self, spark: SparkSession, path: str, delimiter: str = ";", mode: str = "error"
+    ) -> None:
+        named = self.to_df(spark).withColumnsRenamed(HEADERS).coalesce(1)
+        named.write.mode(mode).option("sep", delimiter).option("header", True).csv(path)
 
     @staticmethod
     def from_df(df: DataFrame) -> "ColumnTable":

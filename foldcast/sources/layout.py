@@ -48,6 +48,9 @@ class RunLayout:
     def scores(self) -> str:
         return f"{self.base.rstrip('/')}/scores"
 
+    def columns(self, dataset: str, lags: Sequence[int] = ()) -> str:
+        return f"{self.base.rstrip('/')}/columns/dataset={dataset}/lags_tag={lags_tag(lags)}"
+
     def model(self, dataset: str, fold: int, run: str) -> str:
         return f"{self.base.rstrip('/')}/models/dataset={dataset}/fold={fold}/run={run}"
 
