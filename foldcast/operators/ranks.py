@@ -190,6 +190,16 @@ def exact_medians(
     return out
 
 
+def _row_at(df: DataFrame, keys: Sequence[Column], rank: int) -> list:
+    """The keys of the row at a rank among few rows; it must differ from the one before."""
+    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    before = min(rank, 1)
+    rows = named.orderBy(*named.columns).offset(rank - before).limit(1 + before).collect()
+    if before and rows[0] == rows[1]:
+        raise ValueError("the order columns do not identify a row")
+    return list(rows[-1])
+
+
 def at_or_after_rank(
     df: DataFrame, order: Sequence[str | Column], rank: int, n: int, small: int = SMALL
 ) -> Column:
@@ -201,23 +211,23 @@ def at_or_after_rank(
     filter: no row is moved.
     """
     keys = [rank_key(df, c) if isinstance(c, str) else c for c in order]
+    if not 0 <= rank < n:
+        raise ValueError(f"rank {rank} is out of range")
     bounds: list = []
     inside = df
     left = rank
-    for key in keys:
+    for i, key in enumerate(keys):
+        if n <= small:
+            bounds += _row_at(inside, keys[i:], left)
+            left = 0
+            break
         hit = values_at_ranks(inside, {"k": key}, lambda _n, r=left: [r], small, {"k": n})["k"]
-        if left not in hit["values"]:
-            raise ValueError(f"rank {rank} is out of range")
-        value, below, equal = hit["values"][left]
+        value, below, n = hit["values"][left]
         bounds.append(value)
         left -= below
-        n = equal
-        if equal == 1:
-            break
         inside = inside.where(key == value)
-    else:
-        if left != 0 or equal != 1:
-            raise ValueError("the order columns do not identify a row")
+    if left != 0:
+        raise ValueError("the order columns do not identify a row")
     predicate = None
     for key, value in reversed(list(zip(keys, bounds))):
         if predicate is None:
