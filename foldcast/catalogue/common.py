@@ -65,14 +65,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_mask(days)
 
 
-def segment_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_days(
+    spark: SparkSession, sf_dir: str, entity: str = "c_mktsegment"
+) -> DataFrame:
     """(entity, d, n, revenue): orders with the segment of their customer.
 
     Orders are first summed per customer and day, which shrinks a customer with
     very many orders to a row per day before the join moves it.
     """
     orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", entity)
     per_customer = daily_series(
         orders,
         F.to_date("o_orderdate"),
@@ -80,7 +82,7 @@ def segment_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         [F.col("o_custkey").alias("c_custkey")],
     )
     return per_customer.join(customers, "c_custkey").select(
-        F.col("c_mktsegment").alias("entity"), "d", "n", "revenue"
+        F.col(entity).alias("entity"), "d", "n", "revenue"
     )
 
 

@@ -126,12 +126,15 @@ def day_continuity(spark, sf_dir):
 
 @query(
     "missing_days",
-    f"WITH {PANEL_SQL} SELECT entity, CAST(d AS DATE) AS d FROM (SELECT entity, "
-    "unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM panel GROUP BY entity) "
-    "EXCEPT SELECT entity, d FROM panel",
+    "WITH days AS (SELECT DISTINCT c_nationkey AS entity, CAST(o_orderdate AS DATE) AS d "
+    "FROM orders JOIN customer ON o_custkey = c_custkey) "
+    "SELECT entity, CAST(d AS DATE) AS d FROM (SELECT entity, "
+    "unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM days GROUP BY entity) "
+    "EXCEPT SELECT entity, d FROM days",
 )
 def missing_days(spark, sf_dir):
-    return rows.missing_days(panel(spark, sf_dir).select("entity", "d"), "d", ["entity"])
+    nations = segment_days(spark, sf_dir, "c_nationkey").select("entity", "d")
+    return rows.missing_days(nations, "d", ["entity"])
 
 
 @query(

@@ -64,6 +64,15 @@ def dense_index(
     return indexed.select(*[quoted(c) for c in df.columns], F.col(name))
 
 
+def longest_key(df: DataFrame, keys: Sequence[str] = ()) -> int:
+    """Rows of the key that has most (of the table without keys); one small aggregate
+    that reads the key columns only."""
+    if not keys:
+        return df.count()
+    sizes = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).head()[0] or 0
+
+
 def lag_name(column: str, shift: int, template: str) -> str:
     return template.format(col=column, n=shift)
 
@@ -184,11 +193,20 @@ def sequence_blocks(
 
 
 def series_block(
-    df: DataFrame, values: Sequence[str], order: Sequence[str], keys: Sequence[str]
+    df: DataFrame,
+    values: Sequence[str],
+    order: Sequence[str],
+    keys: Sequence[str],
+    most_rows: int = 100_000,
 ) -> DataFrame:
-    """The whole series of each key as one block, for series with one row per day."""
+    """The whole series of each key as one block, for series with one row per day.
+
+    A key with more than ``most_rows`` rows is an error: use ``sequence_blocks``.
+    """
     if not keys:
         raise ValueError("name the key of the series: a whole table is never one block")
+    if longest_key(df, keys) > most_rows:
+        raise ValueError(f"a key has more than {most_rows} rows: cut it into sequence_blocks")
     record = F.struct(*[quoted(o) for o in order], *[quoted(v) for v in values])
     return df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(record)).alias("records"),

@@ -17,7 +17,7 @@ from foldcast.operators.columns import (
 from foldcast.operators.encode import onehot, onehot_range
 from foldcast.operators.folds import assign_folds, folds_of_years
 from foldcast.operators.impute import fill_mean, fill_values, mask_null_median
-from foldcast.operators.ordered import lag_name, lag_rows
+from foldcast.operators.ordered import lag_name, lag_rows, longest_key
 from foldcast.operators.scale import (
     Stats, group_stats, learn, long_stats, merge_stats, minmax_scaled, numeric_value, present,
     scale_std, std_scaled,
@@ -29,6 +29,7 @@ from foldcast.session import materialise, small_table
 log = logging.getLogger(__name__)
 
 LAG_TEMPLATE = "{col}_l{n}"
+CHUNK_ROWS = 1_000_000
 
 
 @dataclass
@@ -72,17 +73,19 @@ def lag_features(
     normalised: bool = False,
     template: str = LAG_TEMPLATE,
     transformation=None,
-    chunk_rows: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Row lags whose empty start is filled with the mean of the lagged column, after
     scaling to mean 0 and std 1 if asked for.
 
-    The lagged rows are written once: their means need them all before the fill.
+    The lagged rows are written once: their means need them all before the fill. A key
+    with more than ``chunk_rows`` rows is lagged in chunks.
     """
     names = [lag_name(c, n, template) for c in columns for n in lags]
     if not names:
         return df
-    lagged = lag_rows(df, columns, lags, order, keys, template, transformation, chunk_rows)
+    chunks = chunk_rows if longest_key(df, keys) > chunk_rows else None
+    lagged = lag_rows(df, columns, lags, order, keys, template, transformation, chunks)
     stored = materialise(lagged, "lags")
     return fill_lags(stored, learn(stored, names), normalised)
 
@@ -101,7 +104,7 @@ def before_split(
     table: ColumnTable,
     lags: Sequence[int] = (),
     keys: Sequence[str] = (),
-    chunk_rows: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
     learn_from: DataFrame | None = None,
 ) -> tuple[DataFrame, ColumnTable, dict[str, list[str]]]:
     """Check, drop, mask and fill, one-hot, lags.
@@ -123,7 +126,9 @@ def before_split(
     df, declared = onehot_range(df, ranges)
     created = observed | declared
     table = table.replace_columns(created)
-    df = lag_rows(df, table.targets(), lags, [date], keys, LAG_TEMPLATE, None, chunk_rows)
+    if lags:
+        chunks = chunk_rows if longest_key(df, keys) > chunk_rows else None
+        df = lag_rows(df, table.targets(), lags, [date], keys, LAG_TEMPLATE, None, chunks)
     stored = materialise(df, "pre_split")
     lagged = [lag_name(c, n, LAG_TEMPLATE) for c in table.targets() for n in lags]
     indicators = [n for names in created.values() for n in names]
@@ -220,11 +225,13 @@ def prepare_folds(
     keys: Sequence[str] = (),
     null_scope: str = "split",
     steps: Steps | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    learn_from: DataFrame | None = None,
 ) -> Prepared:
     """The whole preparation. It reads ``df`` a few times to learn medians and
     categories, so pass a table, or the result of ``materialise``."""
     steps = steps or Steps()
-    ready, table, unmatched = before_split(df, table, lags, keys)
+    ready, table, unmatched = before_split(df, table, lags, keys, chunk_rows, learn_from)
     steps.keep("pre_split", ready)
     rows, statistics = apply_folds(ready, table, train_years, valid_years, null_scope)
     rows = reorder_columns(

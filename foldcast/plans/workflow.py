@@ -30,9 +30,12 @@ def prepare_dataset(
     lags: Sequence[int] = (),
     keys: Sequence[str] = (),
     null_scope: str = "split",
+    learn_from: DataFrame | None = None,
 ) -> Prepared:
     """Prepare all folds and store rows, learnt statistics and the column table."""
-    prepared = prepare_folds(df, table, train_years, valid_years, lags, keys, null_scope)
+    prepared = prepare_folds(
+        df, table, train_years, valid_years, lags, keys, null_scope, learn_from=learn_from
+    )
     layout.write_folds(prepared.rows, dataset, lags, prepared.table.sort_columns())
     layout.write_statistics(prepared.statistics, dataset)
     prepared.table.write(df.sparkSession, layout.columns(dataset, lags), mode="overwrite")

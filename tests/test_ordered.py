@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.ordered import (
-    dense_index, lag_rows, sequence_blocks, series_block,
+    dense_index, lag_rows, longest_key, sequence_blocks, series_block,
 )
 from tests.conftest import rows_of
 
@@ -88,3 +88,7 @@ def test_series_block(panel_small):
     assert (out["e3"].n, out["e3"].records[0].y, out["e1"].n) == (30, 310, 40)
     with pytest.raises(ValueError):
         series_block(panel_small, ["y"], ["d"], [])
+    with pytest.raises(ValueError, match="more than 39"):
+        series_block(panel_small, ["y"], ["d"], ["entity"], most_rows=39)
+    assert (longest_key(panel_small, ["entity"]), longest_key(panel_small)) == (40, 110)
+    assert longest_key(panel_small.limit(0), ["entity"]) == 0

@@ -178,6 +178,12 @@ def test_lag_features_normalised(panel_small):
     assert first.y_l1 == pytest.approx(lagged)
 
 
+def test_long_keys_are_lagged_in_chunks(panel_small):
+    whole = preparation.lag_features(panel_small, ["y"], [3], ["d"], ["entity"])
+    cut = preparation.lag_features(panel_small, ["y"], [3], ["d"], ["entity"], chunk_rows=9)
+    assert rows_of(whole) == rows_of(cut.select(*whole.columns))
+
+
 def test_grid_and_sweep(spark):
     runs = sweep.grid({"a": (0, 1), "b": (2, 3)})
     assert [r["run_id"] for r in runs] == [1, 2, 3, 4] and runs[2] == {"run_id": 3, "a": 1, "b": 2}
