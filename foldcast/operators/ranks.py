@@ -34,8 +34,13 @@ def rank_key(df: DataFrame, name: str) -> Column:
         return col.cast("bigint")
     if isinstance(kind, T.DateType):
         return F.unix_date(col).cast("bigint")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(kind, T.TimestampNTZType):
+        # From the clock fields: a session zone would repeat an hour once a year.
+        minutes = F.unix_date(col.cast("date")).cast("bigint") * 1440 + F.hour(col) * 60 + F.minute(col)
+        micros = (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
+        return minutes * 60_000_000 + micros
     raise ValueError(f"column {name} of type {kind.simpleString()} has no numeric order")
 
 

@@ -51,6 +51,22 @@ def test_boundary_is_exact_under_ties(spark, small):
     assert {r.id for r in df.where(late).collect()} == expected
 
 
+@pytest.mark.parametrize("small", [1, 10_000])
+def test_clock_times_keep_their_order_in_any_zone(spark, small):
+    """Local times around the hour that clocks repeat, in a zone that does so."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.range(300).selectExpr(
+            "TIMESTAMP_NTZ'2024-11-02 23:30:00.25' + make_dt_interval(0, 0, id) AS t", "id")
+        late = at_or_after_rank(df, ["t"], 120, 300, small)
+        assert sorted(r.id for r in df.where(late).collect()) == list(range(120, 300))
+        key = df.select(rank_key(df, "t").alias("k")).orderBy("id").head().k
+        assert key == 1_730_590_200_250_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_boundary_needs_a_unique_order(spark):
     df = spark.range(10).selectExpr("id % 2 AS a")
     with pytest.raises(ValueError):
