@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm import (
+    bpe,
     exact_dedup,
     id_planes,
+    language,
     line_dedup,
     mixing,
     token_counts,
+    toxicity,
 )
 from foldcast.session import fresh_path
 
@@ -109,3 +112,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"),
         F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+@_query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoding_digests(docs).withColumnRenamed("key", "doc_id")
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.toxic_passages(docs, model).select(
+        F.col("key").alias("doc_id"), "held_out", "score", "predicted", F.size("passages").alias("n_passages")
+    )
+
+
+@_query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs)
+    return language.identify_languages(docs, model).select(
+        F.col("key").alias("doc_id"), "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
