@@ -11,6 +11,7 @@ from foldcast.llm import (
     bpe,
     exact_dedup,
     id_planes,
+    jaccard_join,
     language,
     line_dedup,
     mixing,
@@ -136,3 +137,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(docs, model).select(
         F.col("key").alias("doc_id"), "held_out", "lang_pred", "score", F.size("spans").alias("n_spans")
     )
+
+
+@_query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs).select(
+        F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    )
