@@ -17,6 +17,7 @@ from foldcast.llm import (
     mixing,
     token_counts,
     toxicity,
+    vector_dedup,
 )
 from foldcast.session import fresh_path
 
@@ -145,3 +146,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(docs).select(
         F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
     )
+
+
+@_query("op5_vector_dedup")
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vector_dedup.vector_dedup(vectors).select(
+        F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept", "recall"
+    )
