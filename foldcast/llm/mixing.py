@@ -140,7 +140,7 @@ def drawn_blocks(counts: DataFrame, seed: int, block: int = BLOCK, shard: int =
     )
     chunks = starts.withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK)))
-    ).repartition("no", "chunk")
+    ).repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no", "chunk")
     slots = chunks.withColumn(
         "k",
         F.explode(
