@@ -52,12 +52,22 @@ def share_below(key: Column, seed: int, share: Column | float) -> Column:
 
 
 def slices(texts: Sequence[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` characters each, and of one text at least."""
+    """Ranges of ``texts`` of about ``limit`` characters each, of one text at least and 4,000 at most."""
     start = held = 0
     for at, text in enumerate(texts):
-        if held and held + len(text) > limit:
+        if held and (held + len(text) > limit or at - start == 4000):
             yield start, at
             start, held = at, 0
         held += len(text) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def discard_tables(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldcast.llm.common import free_names, whole
+from foldcast.llm.common import discard_tables, free_names, whole
 from foldcast.llm.components import components
 from foldcast.llm.encoding import in_slices, mixed, span_hashes
 from foldcast.session import materialise
 
 #: Bits of a document's bitmap.
-BITS = 1024
+BITS = 2048
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.5
 
@@ -110,10 +110,12 @@ def tile_keys(values: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nd
 
 
 def bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A bitmap of hashed members per set, as rows of 64-bit numbers."""
-    bits = np.zeros((len(ends) - 1, BITS), bool)
-    bits[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), (values & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.int64)
+    """A bitmap per set, as rows of 64-bit numbers: each bit is the parity of the members hashed to it.
+    Two sets differ in at least as many members as their bitmaps do in bits."""
+    n = len(ends) - 1
+    place = np.repeat(np.arange(n) * BITS, np.diff(ends)) + (values & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -156,13 +158,11 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
 
 
 def _could_reach(percent: int, a: str, b: str) -> str:
-    """Condition on sizes and bitmaps of two sets: a bit that only one map has stands for a member
-    that only one set has, which bounds the common members from above."""
-    alone = "aggregate(zip_with({0}.bitmap, {1}.bitmap, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
-    common = (
-        f"least({a}.n_shingles - {alone.format(a, b)}, {b}.n_shingles - {alone.format(b, a)})"
-    )
+    """Condition on sizes and bitmaps of two sets: bits that differ stand for members that only one
+    set has, which bounds the common members from above."""
+    differ = f"aggregate(zip_with({a}.bitmap, {b}.bitmap, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     both = f"({a}.n_shingles + {b}.n_shingles)"
+    common = f"least({a}.n_shingles, {b}.n_shingles, ({both} - {differ}) div 2)"
     return f"100 * {common} >= {percent} * ({both} - {common})"
 
 
@@ -177,6 +177,7 @@ class _Join:
             filled.groupBy("n_shingles", "h1", "h2").agg(F.min("row").alias("class"), F.count(F.lit(1)).alias("copies")),
             "classes",
         )
+        self.passing: list[DataFrame] = []  # stored tables that only roots() needs
         self.maps = self.sketches.select("row", "n_shingles", "bitmap")
 
     def tiles(self) -> DataFrame:
@@ -231,9 +232,11 @@ class _Join:
         made = materialise(texts.mapInArrow(sets, "row long, members binary").dropDuplicates(["row"]), "sets")
         a = made.select(F.col("row").alias("a"), F.col("members").alias("x"))
         b = made.select(F.col("row").alias("b"), F.col("members").alias("y"))
-        return materialise(
+        out = materialise(
             hopeful.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "links"
         )
+        discard_tables(made, hopeful)
+        return out
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that have links.
@@ -244,6 +247,7 @@ class _Join:
         ones are first tried with other pivots: one at random, then the one with most links.
         """
         tiles = self.tiles()
+        self.passing.append(tiles)
         tried = materialise(_ordered(tiles.where("row <> pivot"), "pivot", "row"), "tried")
         links = self.linked(tried)
         n_rows = self.classes.count()
@@ -297,6 +301,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """
     join = _Join(docs, key, text, n, percent)
     roots = materialise(join.roots(), "roots")
+    discard_tables(*join.passing)
     classed = join.sketches.select("row", "key", "mark", "n_shingles", "h1", "h2").join(
         join.classes.select("n_shingles", "h1", "h2", "class"), ["n_shingles", "h1", "h2"], "left"
     )
