@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.llm.common import tokenizer_path, whole
-from foldcast.llm.encoding import MEMORY, WordMemory, byte_letters, cuts_at_white_space, in_slices
+from foldcast.llm.encoding import WordMemory, byte_letters, cuts_at_white_space, in_slices
 
 #: Symbols of the words that are worked out at a time.
-BATCH_SYMBOLS = 1 << 19
+BATCH_SYMBOLS = 1 << 18
+#: Words that a worker remembers, and characters handled at a time.
+MEMORY, SLICE = 300_000, 1_000_000
 #: Unicode's white space (a fixed list).
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: How the vocabulary's texts are split into words (fixed by the tokenizer file).
@@ -259,7 +261,7 @@ def word_coder(name: str) -> tuple[PrefixBpe, WordMemory]:
             none = np.zeros(0, np.int32)
             return [stems[f[0]] if len(f) == 1 else np.concatenate([none, *[stems[p] for p in f]]) for f in found]
 
-        _coders[name] = bpe, WordMemory(cuts_at_white_space, learn)
+        _coders[name] = bpe, WordMemory(cuts_at_white_space, learn, MEMORY)
     return _coders[name]
 
 
@@ -272,7 +274,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text",
         bpe, memory = word_coder(tokenizer)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, some in in_slices(texts):
+            for start, some in in_slices(texts, SLICE):
                 ids, ends = memory.rows(some)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 decoded = pa.array(bpe.decode(ids, ends), pa.binary()).cast(pa.string())
@@ -294,7 +296,7 @@ def encoding_digests(docs: DataFrame, key: str = "doc_id", text: str = "text",
         bpe, memory = word_coder(tokenizer)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, some in in_slices(texts):
+            for start, some in in_slices(texts, SLICE):
                 ids, ends = memory.rows(some)
                 data = memoryview(ids.astype("<u4").tobytes())
                 spans = list(zip((4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()))

@@ -70,8 +70,10 @@ class WordMemory:
     their rows. Words are recognised by a 64-bit hash and their length.
     """
 
-    def __init__(self, cuts: Callable, learn: Callable[[list[tuple[str, bool]]], Sequence[Sequence[int]]]):
-        self._cuts, self._learn = cuts, learn
+    def __init__(
+        self, cuts: Callable, learn: Callable[[list[tuple[str, bool]]], Sequence[Sequence[int]]], limit: int = MEMORY
+    ):
+        self._cuts, self._learn, self._limit = cuts, learn, limit
         self._forget()
 
     def _forget(self) -> None:
@@ -98,7 +100,7 @@ class WordMemory:
 
     def slots(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each word of ``texts``, and the number of words before each text."""
-        if len(self._slot) > MEMORY:
+        if len(self._slot) > self._limit:
             self._forget()
         codes = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, codes), np.int64, len(codes))
