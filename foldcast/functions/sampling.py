@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HEX_DIGITS = 13  # 52 bits: every value is exact as a double
-_NORMAL_ABOVE = 500.0
+_SUM_FROM_ZERO = 500.0
 
 
 def key_hash(keys: Sequence[Column | str], seed: int | str) -> Column:
@@ -29,23 +29,23 @@ def uniform(keys: Sequence[Column | str], seed: int | str) -> Column:
 def poisson_sample(mean: Column, keys: Sequence[Column | str], seed: int = 42) -> Column:
     """A Poisson draw with the given mean per row; null mean gives null.
 
-    Spark has no such function. Inverse distribution function up to a mean of
-    500, normal approximation above. Keyed by row, so a recomputed partition
-    gives the same draw again.
+    Spark has no such function. The inverse distribution function at the row's
+    uniform value, for any mean; above a mean of 500, where the first probability
+    would vanish, it is summed from near the mean. Keyed by row, so a recomputed
+    partition gives the same draw again.
     """
     import pandas as pd
 
-    limit = _NORMAL_ABOVE
+    limit = _SUM_FROM_ZERO
 
     # Nested so that it travels by value and executors need no installed package.
     # Annotations are taken from these objects, since names are not resolved here.
-    def draw(mean, u, v):
+    def draw(mean, u):
         import numpy as np
         import pandas as pd
 
         lam = mean.to_numpy(dtype="float64", na_value=np.nan)
         first = u.to_numpy(dtype="float64")
-        second = v.to_numpy(dtype="float64")
         out = np.full(lam.shape, np.nan)
         small = (lam >= 0) & (lam <= limit)
         large = lam > limit
@@ -65,13 +65,17 @@ def poisson_sample(mean: Column, keys: Sequence[Column | str], seed: int = 42) -
                 cdf[pending] += pmf[pending]
                 pending = (cdf <= target) & (k < last)
             out[small] = k
-        if large.any():
-            rate = lam[large]
-            radius = np.sqrt(-2.0 * np.log1p(-first[large]))
-            normal = radius * np.cos(2.0 * np.pi * second[large])
-            out[large] = np.maximum(np.rint(rate + np.sqrt(rate) * normal), 0.0)
+        for i in np.flatnonzero(large):
+            # the same inverse, from a start below which less than 1e-30 of the distribution lies;
+            # probabilities relative to the first one are summed in logarithms
+            reach = 12.0 * np.sqrt(lam[i]) + 30.0
+            k = np.arange(max(0.0, np.floor(lam[i] - reach)), np.ceil(lam[i] + reach) + 1.0)
+            log_pmf = np.concatenate([[0.0], np.cumsum(np.log(lam[i]) - np.log(k[1:]))])
+            cdf = np.cumsum(np.exp(log_pmf - log_pmf.max()))
+            at = np.searchsorted(cdf / cdf[-1], first[i], side="right")
+            out[i] = k[min(at, len(k) - 1)]
         return pd.Series(out).astype("object").where(~np.isnan(out), None)
 
-    draw.__annotations__ = {"mean": pd.Series, "u": pd.Series, "v": pd.Series, "return": pd.Series}
+    draw.__annotations__ = {"mean": pd.Series, "u": pd.Series, "return": pd.Series}
     sampler = F.pandas_udf(draw, "double")
-    return sampler(mean.cast("double"), uniform(keys, seed), uniform(keys, f"{seed}b"))
+    return sampler(mean.cast("double"), uniform(keys, seed))

@@ -126,7 +126,7 @@ def to_numeric(
     chosen = [
         f.name for f in df.schema.fields
         if (columns is None or f.name in columns)
-        and not isinstance(f.dataType, (T.NumericType, T.BooleanType))
+        and isinstance(f.dataType, T.StringType)
     ]
     if not force and chosen:
         text = {c: quoted(c).cast("string") for c in chosen}

@@ -13,6 +13,10 @@ from foldcast.operators.profile import distinct_values
 
 def _indicators(df: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:
     kept = [quoted(c) for c in df.columns if c not in values]
+    names = [c for c in df.columns if c not in values] + [f"{c}_{v}" for c, vs in values.items() for v in vs]
+    twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+    if twice:
+        raise ValueError(f"columns of the same name: {', '.join(twice)}")
     new = [
         F.coalesce((quoted(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
         for c, observed in values.items()
@@ -30,7 +34,7 @@ def onehot(
     df: DataFrame,
     columns: Sequence[str],
     values: Mapping[str, Sequence] | None = None,
-    cap: int = 1000,
+    cap: int | None = None,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """A 0/1 column per observed value, in value order; the source is dropped.
 

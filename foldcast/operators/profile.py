@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldcast.operators.columns import quoted
 
@@ -22,11 +23,18 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return counted.withColumn("total", total)
 
 
+def _exact_text(df: DataFrame, column: str) -> Column:
+    """The value as text that is equal for equal values of any type; adding 0 makes one of
+    both zeros of a floating-point column."""
+    floating = isinstance(df.schema[column].dataType, T.FractionalType)
+    return (quoted(column) + F.lit(0) if floating else quoted(column)).cast("string")
+
+
 def _long(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.explode(
         F.array(
             *[
-                F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value"))
+                F.struct(F.lit(c).alias("column"), _exact_text(df, c).alias("value"))
                 for c in columns
             ]
         )
@@ -68,15 +76,15 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     )
 
 
-def distinct_values(df: DataFrame, column: str, cap: int = 1000) -> list:
-    """The distinct non-null values in ascending order, at most ``cap`` of them.
+def distinct_values(df: DataFrame, column: str, cap: int | None = None) -> list:
+    """All distinct non-null values in ascending order.
 
-    More is an error that names the column, never a shortened list.
+    With ``cap``, more than that is an error that names the column, never a
+    shortened list.
     """
-    rows = (
-        df.select(quoted(column).alias("v")).where("v is not null").distinct().limit(cap + 1)
-    ).collect()
-    if len(rows) > cap:
+    found = df.select(quoted(column).alias("v")).where("v is not null").distinct()
+    rows = (found if cap is None else found.limit(cap + 1)).collect()
+    if cap is not None and len(rows) > cap:
         raise ValueError(f"column {column} has more than {cap} distinct values")
     return sorted(r.v for r in rows)
 

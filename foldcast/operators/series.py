@@ -28,8 +28,10 @@ def _by_day(day: str, keys: Sequence[str]):
 
 
 def day_lag(column: Column, lag: int, day: str, keys: Sequence[str] = ()) -> Column:
-    """The value ``lag`` calendar days earlier, null where that day is missing."""
-    return F.max(column).over(_by_day(day, keys).rangeBetween(-lag, -lag))
+    """The value ``lag`` calendar days earlier, null where that day is missing or the row
+    has no day."""
+    earlier = F.max(column).over(_by_day(day, keys).rangeBetween(-lag, -lag))
+    return F.when(quoted(day).isNotNull(), earlier)
 
 
 def lag_days(
@@ -60,7 +62,7 @@ def lag_days_joined(
 ) -> DataFrame:
     """One calendar lag as an equi-join on key and day, where keys are few and the
     join should spread over days as well."""
-    earlier = df.select(
+    earlier = df.where(quoted(day).isNotNull()).select(
         *keys,
         F.date_add(quoted(day), lag).alias(day),
         *[quoted(c).alias(template.format(col=c, n=lag)) for c in columns],
@@ -88,7 +90,7 @@ def lagged_pairs(
         quoted(column).cast("double").alias("y"),
         F.explode(F.array(*[F.lit(int(n)) for n in lags])).alias("lag"),
     ).withColumn("_source", F.date_sub(quoted(day), F.col("lag")))
-    source = df.select(
+    source = df.where(quoted(day).isNotNull()).select(
         *keys, quoted(day).alias("_source"), quoted(column).cast("double").alias("p")
     )
     return join_on(wanted, source, [*keys, "_source"], "left").drop("_source")

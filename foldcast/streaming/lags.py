@@ -22,7 +22,7 @@ def run_row_lags(
     label: str = "stream_lags",
     template: str = "{col}_l{n}",
     chunk_rows: int = 1_000_000,
-    timeout: int = 600,
+    timeout: int | None = None,
 ) -> DataFrame:
     """Lags over the arrival order: batches in turn, each in ``order``.
 
@@ -66,7 +66,9 @@ def run_row_lags(
         .start()
     )
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"the stream {label} did not finish in {timeout} s")
     finally:
         query.stop()

@@ -54,7 +54,7 @@ def learnt_features(
     return onehot_range(out, ranges)[0] if ranges else out
 
 
-def run_available(stream: DataFrame, label: str, timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, label: str, timeout: int | None = None) -> DataFrame:
     """Process what is there now into a table in the shared folder and read it.
 
     The file sink with its checkpoint writes each result once, also when a task or
@@ -71,7 +71,9 @@ def run_available(stream: DataFrame, label: str, timeout: int = 600) -> DataFram
         .start()
     )
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"the stream {label} did not finish in {timeout} s")
     finally:
         query.stop()

@@ -148,3 +148,41 @@ def test_text(spark):
     assert got == ["lr1_ma", "lr2"]
     row = spark.range(1).select(text.weight_map(F.lit("a=1, b=0.5")).alias("w")).head()
     assert row.w == {"a": 1.0, "b": 0.5}
+
+
+def test_poisson_draws_invert_the_distribution_at_any_mean(spark):
+    """The k-th draw is the first count whose distribution function exceeds the uniform value."""
+    import math
+
+    from foldcast.functions.sampling import poisson_sample, uniform
+
+    df = spark.range(400).selectExpr("id", "CAST(element_at(array(3, 499, 501, 20000), CAST(1 + id % 4 AS INT)) AS DOUBLE) AS mean")
+    rows = df.select("mean", uniform(["id"], 7).alias("u"), poisson_sample(df["mean"], ["id"], 7).alias("k")).collect()
+    for mean, u, k in rows:
+        low = max(0, int(mean - 15 * math.sqrt(mean)))
+        total = [math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(low, int(k) + 1)]
+        below, at = math.fsum(total[:-1]), math.fsum(total)
+        assert below - 1e-9 <= u < at + 1e-9
+
+
+def test_null_days_take_no_lag(spark):
+    from foldcast.operators.series import lag_days, lag_days_joined, lagged_pairs
+
+    df = spark.sql("SELECT * FROM VALUES (CAST(NULL AS DATE), 9.0D), (DATE '2020-01-02', 2.0D), (DATE '2020-01-01', 1.0D) t(d, y)")
+    assert {r["y"]: r["y_d1"] for r in lag_days(df, ["y"], [1], "d").collect()} == {9.0: None, 2.0: 1.0, 1.0: None}
+    assert {r["y"]: r["y_d1"] for r in lag_days_joined(df, ["y"], 1, "d").collect()} == {9.0: None, 2.0: 1.0, 1.0: None}
+    assert {r["y"]: r["p"] for r in lagged_pairs(df, "y", [1], "d").collect()} == {9.0: None, 2.0: 1.0, 1.0: None}
+
+
+def test_profiles_and_coercion_keep_types_apart(spark):
+    from foldcast.operators.columns import to_numeric
+    from foldcast.operators.encode import onehot
+    from foldcast.operators.profile import column_profile
+
+    df = spark.sql("SELECT 9007199254740992 + id AS big, DATE '2024-01-01' AS day, CAST(id AS STRING) AS text FROM range(3)")
+    assert column_profile(df, ["big"]).first()["cardinality"] == 3
+    out = to_numeric(df)
+    assert dict(out.dtypes)["day"] == "date" and out.where("day IS NULL").count() == 0
+    assert dict(out.dtypes)["text"] == "double"
+    wide = spark.range(1500).selectExpr("id AS v")
+    assert len(onehot(wide, ["v"])[0].columns) == 1500
