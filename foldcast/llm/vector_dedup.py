@@ -44,12 +44,12 @@ def unit_vectors(vectors: DataFrame, key: str, vector: str, label: str) -> tuple
     # halved by the largest component first, so that no square overflows or vanishes
     top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
     scaled = fine.withColumn("top", top).where("top > 0").withColumn(
-        "scaled", F.transform("vec", lambda x: x / F.col("top"))
+        "scaled", F.transform("vec", lambda x: F.try_divide(x, F.col("top")))
     )
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     classes = (
         scaled.withColumn("norm", norm)
-        .groupBy("label", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"))
+        .groupBy("label", F.transform("scaled", lambda x: F.try_divide(x, F.col("norm"))).alias("unit"))
         .agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     )
     return rows, materialise(classes.select("node", "label", "unit", "copies"), "units")
@@ -339,9 +339,9 @@ def vector_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 def _per_row(rows: DataFrame, classed: DataFrame, recall: float) -> DataFrame:
     top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    scaled = F.transform("vec", lambda x: x / F.col("top"))
+    scaled = F.transform("vec", lambda x: F.try_divide(x, F.col("top")))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.when(F.col("top") > 0, F.transform("scaled", lambda x: x / F.col("norm")))
+    unit = F.when(F.col("top") > 0, F.transform("scaled", lambda x: F.try_divide(x, F.col("norm"))))
     keyed = rows.withColumn("top", top).withColumn("scaled", scaled).withColumn("norm", norm).withColumn("unit", unit)
     labelled = materialise(
         keyed.select("row", "key", "label", "unit")
