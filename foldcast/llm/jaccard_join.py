@@ -12,8 +12,8 @@ from foldcast.llm.components import components
 from foldcast.llm.encoding import in_slices, mixed, span_hashes
 from foldcast.session import materialise
 
-#: Bits of a document's bitmap.
-BITS = 2048
+#: Bits of a document's bitmap, and the columns of 64 bits that it is folded to within tiles.
+BITS, FOLDED = 2048, 16
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.5
 
@@ -118,9 +118,16 @@ def bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Each bitmap's parts laid over one another by exclusive or: bitmaps of parities again, of fewer
+    bits, so with a weaker bound of the same kind."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, FOLDED), axis=1)
+
+
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Stored, one row per document: (row, key, mark, n_shingles, h1, h2, bitmap, tiles). ``row`` numbers the
-    rows; (n_shingles, h1, h2) stand for the set."""
+    """Stored, one row per document: (row, key, mark, n_shingles, h1, h2, bitmap, tiles, f0, f1, ...). ``row``
+    numbers the rows; (n_shingles, h1, h2) stand for the set; f0 and so on are the folded bitmap."""
+    parts = [f"f{i}" for i in range(FOLDED)]
 
     def sketched(batches):
         for batch in batches:
@@ -140,8 +147,9 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
                             pa.array(np.arange(len(some) + 1) * maps.shape[1], pa.int32()), pa.array(maps.reshape(-1))
                         ),
                         pa.ListArray.from_arrays(pa.array(tile_ends, pa.int32()), pa.array(tiles.view(np.int64))),
+                        *map(pa.array, np.ascontiguousarray(folded(maps).T)),
                     ],
-                    ["key", "mark", "n_shingles", "h1", "h2", "bitmap", "tiles"],
+                    ["key", "mark", "n_shingles", "h1", "h2", "bitmap", "tiles", *parts],
                 )
 
     rows = docs.select(
@@ -151,19 +159,28 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     return materialise(
         rows.mapInArrow(
             sketched,
-            f"key {kind}, mark long, n_shingles long, h1 long, h2 long, bitmap array<long>, tiles array<long>",
+            f"key {kind}, mark long, n_shingles long, h1 long, h2 long, bitmap array<long>, tiles array<long>, "
+            + ", ".join(f"{part} long" for part in parts),
         ).withColumn("row", F.monotonically_increasing_id()),
         "sketches",
     )
 
 
-def _could_reach(percent: int, a: str, b: str) -> str:
+def _could_reach(percent: int, a: str, b: str, differ: str) -> str:
     """Condition on sizes and bitmaps of two sets: bits that differ stand for members that only one
     set has, which bounds the common members from above."""
-    differ = f"aggregate(zip_with({a}.bitmap, {b}.bitmap, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     both = f"({a}.n_shingles + {b}.n_shingles)"
     common = f"least({a}.n_shingles, {b}.n_shingles, ({both} - {differ}) div 2)"
-    return f"100 * {common} >= {percent} * ({both} - {common})"
+    return f"{100 + percent} * {common} >= {percent} * {both}"
+
+
+def _bits_apart(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}.bitmap, {b}.bitmap, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+
+
+def _folded_bits_apart(a: str, b: str) -> str:
+    """As plain columns, which compiled joins compare much faster than arrays."""
+    return "(" + " + ".join(f"bit_count({a}.f{i} ^ {b}.f{i})" for i in range(FOLDED)) + ")"
 
 
 class _Join:
@@ -193,7 +210,7 @@ class _Join:
         left = self.maps.select(F.col("row").alias("a"), F.struct("n_shingles", "bitmap").alias("x"))
         right = self.maps.select(F.col("row").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
         hopeful = materialise(
-            pairs.join(left, "a").join(right, "b").where(_could_reach(self.percent, "x", "y")).select("a", "b"), "pairs"
+            pairs.join(left, "a").join(right, "b").where(_could_reach(self.percent, "x", "y", _bits_apart("x", "y"))).select("a", "b"), "pairs"
         )
         wanted = hopeful.select(F.col("a").alias("row")).unionByName(hopeful.select(F.col("b").alias("row"))).distinct()
         n, percent = self.n, self.percent
@@ -243,7 +260,7 @@ class _Join:
 
         First every tile's members are compared with one of them, its pivot; that resolves tiles whose
         members end up in one component, however large. In the others all pairs that are not
-        yet in one component are compared, tile by tile, bitmaps within the join. Large
+        yet in one component are compared, tile by tile, folded bitmaps within the join. Large
         ones are first tried with other pivots: one at random, then the one with most links.
         """
         tiles = self.tiles()
@@ -276,11 +293,15 @@ class _Join:
             more = materialise(more, "tried")
             tried = tried.unionByName(more)
             links = links.unionByName(self.linked(more))
-        members = open_.select("tile", "row", "root").join(self.maps, "row")
+        folds = self.sketches.select("row", "n_shingles", *[f"f{i}" for i in range(FOLDED)])
+        members = open_.select("tile", "row", "root").join(folds, "row")
         x, y = members.alias("x"), members.alias("y")
         pairs = x.join(
             y,
-            F.expr("x.tile = y.tile AND x.row < y.row AND x.root <> y.root AND " + _could_reach(self.percent, "x", "y")),
+            F.expr(
+                "x.tile = y.tile AND x.row < y.row AND x.root <> y.root AND "
+                + _could_reach(self.percent, "x", "y", _folded_bits_apart("x", "y"))
+            ),
         ).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         return components(links.unionByName(self.linked(pairs)))
 
