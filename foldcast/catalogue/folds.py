@@ -44,7 +44,7 @@ _SHIP_FOLDS_SQL = """years AS (
   FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem)),
 folds AS (
   SELECT fold, CASE WHEN k <= fold THEN 'train' ELSE 'valid' END AS split, year
-  FROM years, (VALUES (3), (4)) f(fold) WHERE k <= fold + 1)"""
+  FROM years, (VALUES (3), (4), (5)) f(fold) WHERE k <= fold + 1)"""
 
 
 @query(
@@ -67,7 +67,7 @@ def fold_normalise(spark, sf_dir):
     )
     year, measured = F.col("year"), ["l_quantity", "l_extendedprice"]
     yearly = small_table(group_stats(df, measured, ["year"]))  # a row per year
-    folds = folds_of_years(spark, sorted(r.year for r in yearly.collect()), [3, 4], 1)
+    folds = folds_of_years(spark, sorted(r.year for r in yearly.collect()), FOLD_YEARS, 1)
     train = merge_stats(
         yearly.join(F.broadcast(folds.where("split = 'train'")), "year"), measured, ["fold"]
     )

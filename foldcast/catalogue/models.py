@@ -12,11 +12,15 @@ from foldcast.functions.metrics import REGRESSION_SCORES, poisson_rms, rmse
 from foldcast.operators.folds import assign_folds, fold_table
 from foldcast.operators.scores import mean_importance
 from foldcast.operators.series import lag_days
+from foldcast.plans import metadata as md
+from foldcast.plans import workflow
+from foldcast.plans.metadata import ColumnSpec, ColumnTable
 from foldcast.plans.models import (
     apply_stored, fit_folds, fold_scores, importances, seasonal_terms,
 )
 from foldcast.plans.subset_search import backward_elimination, forward_selection as add_features
 from foldcast.session import fresh_path, materialise
+from foldcast.sources.layout import RunLayout
 
 _SCORES = list(REGRESSION_SCORES)
 _PANEL_FEATURES = ["y_d7", "y_d364", "weekday", "month", "summer"]
@@ -124,12 +128,12 @@ def poisson_glm(spark, sf_dir):
     f"""{_DAILY_FOLDS_SQL}, fit AS (
       SELECT fold, weekday, avg(y) AS p FROM rows WHERE split = 'train' GROUP BY 1, 2)
     SELECT rows.fold, split, {_MODEL_SCORES_SQL}
-    FROM rows JOIN fit USING (fold, weekday) WHERE fold = 3 GROUP BY 1, 2""",
+    FROM rows JOIN fit USING (fold, weekday) GROUP BY 1, 2""",
 )
 def gbt_regression(spark, sf_dir):
     """On one feature with few values the first tree leaves only noise to the others."""
     predicted, _ = fit_folds(
-        daily_folds(spark, sf_dir), ["weekday"], "y", "boosted", [3], max_depth=6, rounds=3
+        daily_folds(spark, sf_dir), ["weekday"], "y", "boosted", FOLD_YEARS, max_depth=6, rounds=3
     )
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
 
@@ -137,7 +141,7 @@ def gbt_regression(spark, sf_dir):
 @query("gbt_panel")
 def gbt_panel(spark, sf_dir):
     predicted, _ = fit_folds(
-        panel_folds(spark, sf_dir), _PANEL_FEATURES, "y", "boosted", FOLD_YEARS[:1],
+        panel_folds(spark, sf_dir), _PANEL_FEATURES, "y", "boosted", FOLD_YEARS,
         max_depth=3, rounds=5,
     )
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
@@ -195,23 +199,47 @@ def seasonal_regression(spark, sf_dir):
 @query(
     "model_scoring",
     f"""{_DAILY_FOLDS_SQL}, fit AS (
-      SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM rows
-      WHERE split = 'train' AND fold = 3 AND x IS NOT NULL)
-    SELECT split, count(*) AS n, {r('sqrt(avg((y - p) * (y - p)))', 4)} AS "RMSE",
+      SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM rows
+      WHERE split = 'train' AND x IS NOT NULL GROUP BY 1)
+    SELECT fold, split, count(*) AS n, {r('sqrt(avg((y - p) * (y - p)))', 4)} AS "RMSE",
            {r('sqrt(avg((y - p) * (y - p) / (y + 1)))', 4)} AS "PRMS"
-    FROM (SELECT rows.*, a + b * x AS p FROM rows, fit WHERE fold = 3 AND x IS NOT NULL)
-    GROUP BY 1""",
+    FROM (SELECT rows.*, a + b * x AS p FROM rows JOIN fit USING (fold) WHERE x IS NOT NULL)
+    GROUP BY 1, 2""",
 )
 def model_scoring(spark, sf_dir):
     rows = daily_folds(spark, sf_dir)
-    _, models = fit_folds(rows, ["x"], "y", "linear", [3])
-    path = fresh_path(spark, "model")
-    models[3].write().save(path)
-    predicted = apply_stored(path, rows.where("fold = 3"), ["x"], "y")
-    out = fold_scores(predicted, "y", {"RMSE": rmse, "PRMS": poisson_rms}, ["split"])
+    _, models = fit_folds(rows, ["x"], "y", "linear", FOLD_YEARS)
+    predicted = None
+    for fold, fitted in models.items():
+        path = fresh_path(spark, "model")
+        fitted.write().save(path)
+        found = apply_stored(path, rows.where(F.col("fold") == fold), ["x"], "y")
+        predicted = found if predicted is None else predicted.unionByName(found)
+    out = fold_scores(predicted, "y", {"RMSE": rmse, "PRMS": poisson_rms})
     return round_columns(out, ["RMSE", "PRMS"], 4)
 
 
+@query(
+    "prediction_table",
+    f"""{_DAILY_FOLDS_SQL}, fit AS (
+      SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM rows
+      WHERE split = 'train' AND x IS NOT NULL GROUP BY 1),
+    known AS (SELECT rows.*, a + b * x AS p FROM rows JOIN fit USING (fold) WHERE x IS NOT NULL)
+    SELECT fold, split, 'y' AS target, 'actual' AS series, d AS date, {r('y', 4)} AS value FROM known
+    UNION ALL
+    SELECT fold, split, 'y', 'linear', d, {r('p', 4)} FROM known""",
+)
+def prediction_table(spark, sf_dir):
+    """Stored models of all folds, applied by the job that users run."""
+    layout = RunLayout(fresh_path(spark, "run"))
+    layout.write_folds(daily_folds(spark, sf_dir), "daily")
+    columns = [ColumnSpec("d", operation=md.DATE), ColumnSpec("y", operation=md.TARGET), ColumnSpec("x")]
+    ColumnTable.of(columns).write(spark, layout.columns("daily"), mode="overwrite")
+    workflow.fit_dataset(spark, layout, "daily", "linear", FOLD_YEARS)
+    out = workflow.predict_dataset(spark, layout, "daily", "linear", FOLD_YEARS)
+    return round_columns(out.drop("dataset", "run"), ["value"], 4)
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     rows = panel_folds(spark, sf_dir)

@@ -134,6 +134,23 @@ def apply_stored(path: str, rows: DataFrame, features: Sequence[str], target: st
     return PipelineModel.load(path).transform(usable_rows(rows, features, target)).drop(FEATURES)
 
 
+def predict_stored(path: str, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Predictions of a stored model for all rows with all features, their target known or not."""
+    usable = known_numbers(rows, features).withColumns({c: quoted(c).cast("double") for c in features})
+    return PipelineModel.load(path).transform(usable).drop(FEATURES)
+
+
+def prediction_rows(predicted: DataFrame, target: str, series: str, day: str) -> DataFrame:
+    """(fold, split, target, series, date, value): each row's actual value and its prediction."""
+    pairs = F.array(
+        F.struct(F.lit("actual").alias("series"), quoted(target).cast("double").alias("value")),
+        F.struct(F.lit(series).alias("series"), F.col(PREDICTION).alias("value")),
+    )
+    return predicted.select(
+        "fold", "split", F.lit(target).alias("target"), quoted(day).alias("date"), F.inline(pairs)
+    )
+
+
 def importances(
     models: Mapping[int, PipelineModel], features: Sequence[str], rows: DataFrame
 ) -> DataFrame:

@@ -47,11 +47,15 @@ def test_layout(spark, tmp_path):
     scores = spark.createDataFrame([("ds", 3, "RMSE", 1.0)], "dataset string, fold int, metric string, value double")
     layout.write_scores(scores)
     layout.write_scores(scores)
+    assert spark.read.parquet(layout.scores).count() == 1  # replaced
+    layout.write_scores(scores.withColumn("run", F.lit("b")))
     assert spark.read.parquet(layout.scores).count() == 2
     stats = spark.createDataFrame([(3, "v", 1.0)], "fold int, column string, mean double")
     layout.write_statistics(stats, "ds")
     layout.write_statistics(stats, "ds")
-    assert spark.read.parquet(layout.statistics).count() == 1
+    layout.write_statistics(stats, "ds", [7])
+    layout.write_statistics(stats, "ds", [7], valid_years=2)
+    assert spark.read.parquet(layout.statistics).count() == 3
     assert layout.model("ds", 3, "r").endswith("/models/dataset=ds/fold=3/run=r")
 
 

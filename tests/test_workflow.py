@@ -53,6 +53,38 @@ def test_prepare_fit_evaluate_report(spark, layout, visits):
     assert report.count() == 6 and {"2", "3", "mean", "std"} <= set(report.columns)
 
 
+def test_runs_stay_apart(spark, layout, visits):
+    """Two lag sets, two valid lengths and two settings of a model."""
+    for lags, valid in (([], 1), ([7], 1), ([], 2)):
+        workflow.prepare_dataset(visits, TABLE, layout, "ds", [2], valid, lags=lags)
+    rows = {v: layout.read_folds(spark, "ds", valid_years=v).where("split = 'valid'").count() for v in (1, 2)}
+    assert rows == {1: 365, 2: 730} and "y_l7" in layout.read_folds(spark, "ds", [7]).columns
+    tagged = spark.read.parquet(layout.statistics).groupBy("lags_tag", "valid_years").count()
+    assert tagged.count() == 3
+    for depth in (1, 3, 3):
+        workflow.fit_dataset(spark, layout, "ds", "tree", [2], max_depth=depth)
+    workflow.fit_dataset(spark, layout, "ds", "tree", [2], valid_years=2, max_depth=3)
+    report = workflow.score_report(spark, layout, "ds")
+    assert report.select("run").distinct().count() == 3 and report.count() == 18
+    assert report.where("mean <> `2`").count() == 0
+
+
+def test_predictions_cover_rows_without_target(spark, layout, visits):
+    open_ = visits.withColumn("y", F.when(F.col("d") < "2010-12-01", F.col("y")))
+    table = ColumnTable.of([ColumnSpec("d", operation=md.DATE), ColumnSpec("y", operation=md.TARGET), ColumnSpec("x_c_wd")])
+    rows = open_.select(
+        F.lit(3).alias("fold"), F.when(F.year("d") < 2010, "train").otherwise("valid").alias("split"), "d", "y", "x_c_wd")
+    layout.write_folds(rows, "ds")
+    table.write(spark, layout.columns("ds"), mode="overwrite")
+    workflow.fit_dataset(spark, layout, "ds", "linear", [3])
+    for _ in range(2):  # a second run replaces the first
+        out = workflow.predict_dataset(spark, layout, "ds", "linear", [3])
+    got = {(r.split, r.series): (r.rows, r.known) for r in out.groupBy("split", "series").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("known")).collect()}
+    assert got == {("train", "actual"): (1096, 1096), ("train", "linear"): (1096, 1096),
+                   ("valid", "actual"): (365, 334), ("valid", "linear"): (365, 365)}
+
+
 def test_feature_groups_and_fakes(spark, layout, visits):
     workflow.prepare_dataset(visits, TABLE, layout, "ds", [3], 1)
     _, weights = workflow.fit_dataset(
