@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldcast.llm.common import whole
 from foldcast.llm.encoding import byte_level_coder, in_slices
+from foldcast.session import materialise
 
 #: Lengths of one running sum; longer histograms are summed in pieces of this many lengths.
 PIECE = 1024
@@ -43,8 +44,10 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     docs_le and share_le (documents of L tokens at most, so every quantile), docs_gt,
     tokens_le, tokens_gt, total_tokens, and truncated_total: the tokens left if all
     documents are cut to L. For a limit between two lengths L < c < L', the truncated
-    total is tokens_le + c * docs_gt of the row of L.
+    total is tokens_le + c * docs_gt of the row of L. The histogram is stored first, since it
+    is read twice and the texts are to be encoded once.
     """
+    histogram = materialise(histogram, "lengths")
     piece = histogram.withColumn("piece", F.floor(F.col("n_tokens") / PIECE)).withColumn(
         "tokens", F.col("n_tokens") * F.col("n_docs")
     )
