@@ -16,6 +16,10 @@ from foldcast.session import materialise
 BITS, FOLDED = 2048, 16
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.5
+#: Unresolved tiles of more sets than this are tried with other pivots before all their pairs are.
+LARGE = 64
+#: Hashes by which sets with many empty ranges are dealt to ranges, one after another.
+TURNS = 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -67,9 +71,10 @@ def tile_keys(values: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nd
     d = floor((100 - percent) * 2h / (100 + percent)) members. Hashes fall into
     d + 1 + s ranges; a member in which the sets differ spoils one range only, so at least
     1 + s ranges hold the same members in both. A tile is the sets of a band with the same members
-    in one range. Empty ranges are left out unless a set has more than s of them, and
-    then such a pair meets in an empty range. A set is also entered in every higher
-    band that a partner may belong to.
+    in one range that is not empty. Such a pair misses all tiles only if both sets have more than s
+    empty ranges; sets of that kind are dealt to ranges again by another hash, where the same
+    holds, and those left after ``TURNS`` hashes meet in their empty ranges. A set is also
+    entered in every higher band that a partner may belong to.
     """
     sizes = np.diff(ends)
     starts = band_starts(int(sizes.max(initial=1)) * 100 // percent + 1)
@@ -80,25 +85,31 @@ def tile_keys(values: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nd
     for step in range(int((top - own).max(initial=0)) + 1):
         band = own + step
         differ = (100 - percent) * 2 * (starts[np.minimum(band + 1, len(starts) - 1)] - 1) // (100 + percent)
-        chosen = np.flatnonzero((sizes > 0) & (band <= top) & (differ > 0))
-        if not len(chosen):
-            continue
-        slack = differ // 16
+        slack = differ // 6
         ranges = differ + 1 + slack
-        span = sizes[chosen]
-        of = np.repeat(chosen, span)
-        at = np.repeat(ends[chosen] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-        part = ((values[at] >> np.uint64(32)) * ranges[of].astype(np.uint64)) >> np.uint64(32)
-        turn = np.ones(len(at), bool)
-        turn[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
-        turn = np.flatnonzero(turn)
-        sums = np.add.reduceat(scrambled[at], turn)
-        label = mixed(band[of[turn]].astype(np.uint64) << np.uint64(40) | part[turn])
-        keys.append(mixed(sums + label))
-        owners.append(of[turn])
-        filled = np.bincount(of[turn], minlength=len(sizes))
-        for i in chosen[(ranges - filled)[chosen] > slack[chosen]].tolist():
-            held = part[turn[np.searchsorted(of[turn], i) : np.searchsorted(of[turn], i, side="right")]]
+        chosen = np.flatnonzero((sizes > 0) & (band <= top) & (differ > 0))
+        for turn in range(TURNS):
+            if not len(chosen):
+                break
+            span = sizes[chosen]
+            of = np.repeat(chosen, span)
+            at = np.repeat(ends[chosen] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+            dealt = mixed(values[at] + np.uint64(turn)) if turn else values[at]
+            part = ((dealt >> np.uint64(32)) * ranges[of].astype(np.uint64)) >> np.uint64(32)
+            if turn:
+                order = np.lexsort((part, of))
+                at, part = at[order], part[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
+            new = np.flatnonzero(new)
+            sums = np.add.reduceat(scrambled[at], new)
+            label = mixed(mixed(band[of[new]].astype(np.uint64) << np.uint64(40) | part[new]) + np.uint64(turn))
+            keys.append(mixed(sums + label))
+            owners.append(of[new])
+            filled = np.bincount(of[new], minlength=len(sizes))
+            chosen = chosen[(ranges - filled)[chosen] > slack[chosen]]
+        for i in chosen.tolist():
+            held = part[new[np.searchsorted(of[new], i) : np.searchsorted(of[new], i, side="right")]]
             empty = np.setdiff1d(np.arange(ranges[i], dtype=np.uint64), held)
             keys.append(mixed(mixed(np.uint64(int(band[i])) << np.uint64(40) | empty)))
             owners.append(np.full(len(empty), i))
@@ -260,14 +271,16 @@ class _Join:
 
         First every tile's members are compared with one of them, its pivot; that resolves tiles whose
         members end up in one component, however large. In the others all pairs that are not
-        yet in one component are compared, tile by tile, folded bitmaps within the join. Large
-        ones are first tried with other pivots: one at random, then the one with most links.
+        yet in one component are compared, tile by tile, folded bitmaps within the join. Tiles of
+        more than ``LARGE`` sets, if they hold many pairs, are first tried with other pivots: the one
+        with most links, then, where that resolved some, one at random.
         """
         tiles = self.tiles()
         self.passing.append(tiles)
         tried = materialise(_ordered(tiles.where("row <> pivot"), "pivot", "row"), "tried")
         links = self.linked(tried)
         n_rows = self.classes.count()
+        before = float("inf")
         for round_ in range(3):
             found = materialise(components(links), "components")
             rooted = tiles.select("tile", "row").join(found.withColumnRenamed("node", "row"), "row", "left").withColumn(
@@ -277,19 +290,21 @@ class _Join:
                 F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets")
             ).where("low <> high")
             open_ = materialise(rooted.join(apart.select("tile", "sets"), "tile"), "open")
-            work = open_.agg(F.sum(F.col("sets").cast("double"))).first()[0]
-            if work is None:
+            large = open_.where(F.col("sets") > LARGE)
+            n_open, work = open_.agg(F.count(F.lit(1)), F.sum(F.expr(f"if(sets > {LARGE}, double(sets), 0D)"))).first()
+            if not n_open:
                 return found
-            if work < 20 * n_rows or round_ == 2:
+            if work < 200 * n_rows or work > 0.9 * before or round_ == 2:
                 break
+            before = work
             degree = links.select(F.col("a").alias("row")).unionByName(links.select(F.col("b").alias("row"))).groupBy("row").agg(
                 F.count(F.lit(1)).alias("degree")
             )
-            ranked = open_.join(degree, "row", "left").withColumn(
-                "rank", F.struct(F.coalesce("degree", F.lit(0)) * round_, F.xxhash64("row", F.lit(round_)), "row")
+            ranked = large.join(degree, "row", "left").withColumn(
+                "rank", F.struct(F.coalesce("degree", F.lit(0)) * (1 - round_), F.xxhash64("row", F.lit(round_)), "row")
             )
             other = ranked.groupBy("tile").agg(F.max("rank").alias("best")).select("tile", F.col("best.row").alias("pivot"))
-            more = _ordered(open_.join(other, "tile").where("row <> pivot"), "pivot", "row").join(tried, ["a", "b"], "left_anti")
+            more = _ordered(large.join(other, "tile").where("row <> pivot"), "pivot", "row").join(tried, ["a", "b"], "left_anti")
             more = materialise(more, "tried")
             tried = tried.unionByName(more)
             links = links.unionByName(self.linked(more))

@@ -2,8 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from foldcast.llm import jaccard_join as jaccard_join_module
 from foldcast.llm.components import components
 from foldcast.llm.jaccard_join import drop_near_copies, jaccard_join
 from tests.llm.conftest import awkward_rows
@@ -91,3 +93,20 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 7 for i in range(200, 260))
     assert got[1] == got[2] == got[3] == 1 and 5 not in got
+
+
+@pytest.mark.parametrize("turns", [1, 6])
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_share_a_tile(monkeypatch, turns, percent):
+    monkeypatch.setattr(jaccard_join_module, "TURNS", turns)
+    rng = np.random.default_rng(percent + turns)
+    for _ in range(300):
+        common = int(rng.integers(1, 300)) if rng.random() < 0.7 else int(rng.integers(1, 12))
+        apart = common * (100 - percent) // percent
+        left = int(rng.integers(0, apart + 1))
+        members = rng.integers(0, 1 << 63, common + apart, dtype=np.uint64)
+        x, y = np.sort(members[: common + left]), np.sort(np.concatenate([members[:common], members[common + left :]]))
+        if np.array_equal(x, y):
+            continue
+        keys, ends = jaccard_join_module.tile_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+        assert set(keys[: ends[1]].tolist()) & set(keys[ends[1] :].tolist())
