@@ -8,7 +8,7 @@ from foldcast.catalogue.common import (
     DAILY_SQL, FOLD_YEARS, FOLDS_SQL, daily, query, r, round_columns, rounded, table,
 )
 from foldcast.operators.folds import (
-    assign_folds, fold_table, folds_of_years, ordered_split as split_in_order, random_split as split_at_random,
+    assign_folds, fold_day_check, fold_table, folds_of_years, ordered_split as split_in_order, random_split as split_at_random,
     shuffled_copies,
 )
 from foldcast.operators.scale import group_stats, merge_stats, scale_by_group
@@ -39,6 +39,21 @@ def folds_by_year(spark, sf_dir):
     )
 
 
+@query(
+    "fold_continuity",
+    f"""WITH {DAILY_SQL}, {FOLDS_SQL}, expected AS (
+      SELECT fold, split, date_diff('day', make_date(min(year), 1, 1), make_date(max(year) + 1, 1, 1)) AS n_expected
+      FROM folds GROUP BY 1, 2),
+    present AS (SELECT fold, split, count(*) AS n_days, CAST(sum(y) AS BIGINT) AS n_rows
+                FROM daily JOIN folds ON year(d) = year GROUP BY 1, 2)
+    SELECT CAST(fold AS INTEGER) AS fold, split, n_days, n_rows, n_expected, n_days = n_expected AS complete
+    FROM expected JOIN present USING (fold, split)""",
+)
+def fold_continuity(spark, sf_dir):
+    df = daily(spark, sf_dir)
+    return fold_day_check(df, fold_table(df, F.year("d"), FOLD_YEARS, 1), "d", count="y")
+
+
 _SHIP_FOLDS_SQL = """years AS (
   SELECT year, row_number() OVER (ORDER BY year) AS k
   FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem)),

@@ -50,6 +50,25 @@ def assign_folds(df: DataFrame, folds: DataFrame, year: Column) -> DataFrame:
     return df.join(F.broadcast(right), year.cast("int") == F.col("_year")).drop("_year")
 
 
+def fold_day_check(df: DataFrame, folds: DataFrame, day: str, count: str | None = None) -> DataFrame:
+    """Per fold and split: its days and rows, and how many days its whole calendar years have, from
+    the first of January of its first year on, so that a fold without its first or last days, or
+    without a year in between, is found. ``count`` names a column that says how many rows an
+    already counted row stands for. Rows without a day belong to no fold."""
+    rows = F.count(F.lit(1)) if count is None else F.sum(count)
+    per_day = df.groupBy(day).agg(rows.alias("_rows"))
+    present = assign_folds(per_day, folds, F.year(day)).groupBy("fold", "split").agg(
+        F.count(F.lit(1)).alias("_days"), F.sum("_rows").cast("bigint").alias("_all")
+    )
+    start, end = (F.make_date(year, F.lit(1), F.lit(1)) for year in (F.min("year"), F.max("year") + 1))
+    expected = folds.groupBy("fold", "split").agg(F.datediff(end, start).cast("bigint").alias("n_expected"))
+    n_days = F.coalesce("_days", F.lit(0))
+    return expected.join(present, ["fold", "split"], "left").select(
+        "fold", "split", n_days.cast("bigint").alias("n_days"), F.coalesce("_all", F.lit(0)).cast("bigint").alias("n_rows"),
+        "n_expected", (n_days == F.col("n_expected")).alias("complete"),
+    )
+
+
 def _labelled(df: DataFrame, is_late: Column, take_from_end: bool) -> DataFrame:
     early, late = ("train", "test") if take_from_end else ("test", "train")
     return df.withColumn("split", F.when(is_late, F.lit(late)).otherwise(F.lit(early)))

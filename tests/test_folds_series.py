@@ -33,6 +33,19 @@ def test_folds_hold_the_expected_consecutive_days(daily_full):
         assert (valid.first_day, valid.last_day) == (day(f"{2007 + n}-01-01"), day(f"{2007 + n}-12-31"))
 
 
+def test_fold_day_check_finds_lost_days(daily_full):
+    """Days lost at an end of a split or a whole year in it show; nothing is seen as a gap otherwise."""
+    folds = fo.fold_table(daily_full, F.year("d"), [4, 5], 1)
+    full = {(r.fold, r.split): r for r in fo.fold_day_check(daily_full, folds, "d").collect()}
+    assert len(full) == 4 and all(r.complete for r in full.values())
+    assert full[4, "train"].n_expected == full[4, "train"].n_rows == 1461
+    cut = daily_full.where("d <> '2007-01-01' AND year(d) <> 2011").unionByName(daily_full.where("d = '2008-05-05'"))
+    got = {(r.fold, r.split): r for r in fo.fold_day_check(cut, folds, "d").collect()}
+    assert (got[4, "train"].n_days, got[4, "train"].n_rows, got[4, "train"].complete) == (1460, 1461, False)
+    assert (got[4, "valid"].n_days, got[4, "valid"].n_rows, got[4, "valid"].complete) == (0, 0, False)
+    assert not got[5, "train"].complete and got[5, "valid"].complete
+
+
 @pytest.mark.parametrize("size,end", [(0.2, True), (0.33, False), (0.0, True), (1.0, True)])
 def test_ordered_split(daily_full, size, end):
     n = daily_full.count()
