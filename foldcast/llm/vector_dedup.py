@@ -12,12 +12,14 @@ from foldcast.session import materialise
 
 #: Neighbours per vector at first, and up to which full lists are doubled.
 NEIGHBOURS, MOST_NEIGHBOURS = 12, 48
-#: Random projections the first graph is drawn from, and vectors looked ahead in each order.
-PROJECTIONS, AHEAD = 6, 6
+#: Random orders the first graph is drawn from, vectors looked ahead in each, and the signs of random
+#: projections that an order goes by.
+PROJECTIONS, AHEAD, SIGNS = 6, 6, 62
 #: Rounds of refinement at least and at most.
 ROUNDS, MOST_ROUNDS = 3, 8
-#: Vectors whose links are audited against all others at most, and the recall at which rounds end.
-AUDITED, ENOUGH = 256, 0.999
+#: Vectors drawn for the audit at first and at most, those with links it has to meet, and the mean
+#: recall of these at which rounds end.
+AUDITED, MOST_AUDITED, LINKED, ENOUGH = 256, 16_384, 256, 0.999
 #: Rows of the two sides of a tile in the exact comparison.
 TILE, WIDE_TILE = 512, 2048
 
@@ -56,16 +58,21 @@ def unit_vectors(vectors: DataFrame, key: str, vector: str, label: str) -> tuple
 
 
 def first_graph(units: DataFrame, seed: int) -> DataFrame:
-    """Edges (a, b, cos): per random projection, vectors of one label that follow one another in its
-    order. The order is cut into partitions by range, so a label may hold any share of all rows."""
+    """Edges (a, b, cos): per random order, vectors of one label that follow one another in it. An order
+    goes by the signs of random projections, one after the other, then by the first projection: close
+    vectors share the long row of first signs that few others share, however many there are. The
+    order is cut into partitions by range, so a label may hold any share of all rows."""
     graph = None
+    powers = 1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
     for k in range(PROJECTIONS):
 
         def projected(batches, k=k):
             for batch in batches:
                 units_ = _matrix(batch.column("unit"))
-                direction = np.random.default_rng((seed, k, units_.shape[1])).normal(size=units_.shape[1])
-                yield batch.append_column("place", pa.array(units_ @ direction))
+                directions = np.random.default_rng((seed, k, units_.shape[1])).normal(size=(units_.shape[1], SIGNS))
+                places = units_ @ directions
+                signs = (places >= 0).astype(np.int64) @ powers
+                yield batch.append_column("signs", pa.array(signs)).append_column("place", pa.array(places[:, 0].copy()))
 
         def near(batches):
             names, labels, points = [], [], []
@@ -95,9 +102,9 @@ def first_graph(units: DataFrame, seed: int) -> DataFrame:
 
         kind = units.select("node", F.xxhash64("label", F.size("unit")).alias("group"), "unit")
         edges = (
-            kind.mapInArrow(projected, "node long, group long, unit array<double>, place double")
-            .repartitionByRange("group", "place")
-            .sortWithinPartitions("group", "place")
+            kind.mapInArrow(projected, "node long, group long, unit array<double>, signs long, place double")
+            .repartitionByRange("group", "signs", "place")
+            .sortWithinPartitions("group", "signs", "place")
             .mapInArrow(near, "a long, b long, cos double")
         )
         graph = edges if graph is None else graph.unionByName(edges)
@@ -241,38 +248,46 @@ def tiled_links(some: DataFrame, units: DataFrame, threshold: float) -> tuple[Da
     return links, found.where("node <> peer").select(F.col("node").alias("a"), F.col("peer").alias("b"))
 
 
-def audit(graph: DataFrame, units: DataFrame, threshold: float) -> float:
-    """Recall of the graph's links for a sample of nodes, against comparing these with all nodes. The
-    sample is the ``AUDITED`` nodes of smallest hash, so it can be held in every task."""
-    rows = units.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDITED).select("node", "label", "unit").collect()
-    by_kind: dict[tuple, tuple] = {}
-    for r in rows:
-        by_kind.setdefault((r["label"], len(r["unit"])), ([], []))
-        by_kind[r["label"], len(r["unit"])][0].append(r["node"])
-        by_kind[r["label"], len(r["unit"])][1].append(r["unit"])
-
-    def true_links(batches):
-        for batch in batches:
-            label, node = batch.column("label").to_pylist(), batch.column("node").to_numpy()
-            length = np.diff(batch.column("unit").offsets.to_numpy())
-            out = []
-            for (name, n), (ids, points) in by_kind.items():
-                here = np.flatnonzero((length == n) & np.fromiter((x == name for x in label), bool, len(label)))
-                if len(here):
-                    cos = np.array(points) @ _matrix(batch.column("unit").take(pa.array(here))).T
-                    a, b = np.nonzero(cos >= threshold)
-                    out.append(np.stack([np.array(ids)[a], node[here][b]]))
-            if out:
-                both = np.concatenate(out, axis=1)
-                both = both[:, both[0] != both[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    truth = units.select("node", "label", "unit").mapInArrow(true_links, "a long, b long")
+def audit(graph: DataFrame, units: DataFrame, threshold: float) -> float | None:
+    """Mean recall of the graph's links over sampled nodes that have any, against comparing these with
+    all nodes. The sample is the nodes of smallest hash, so it can be held in every task; it grows
+    until ``LINKED`` nodes with links are met. None if ``MOST_AUDITED`` nodes hold fewer and others are
+    left; 1.0 without links only if all nodes were drawn."""
     known = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos")).select("a", "b").distinct()
-    counts = truth.join(known.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(
-        F.count(F.lit(1)).alias("n"), F.count("found").alias("found")
-    ).first()
-    return counts["found"] / counts["n"] if counts["n"] else 1.0
+    drawn = AUDITED
+    while True:
+        rows = units.orderBy(F.xxhash64("node", F.lit("audit"))).limit(drawn).select("node", "label", "unit").collect()
+        by_kind: dict[tuple, tuple] = {}
+        for r in rows:
+            ids, points = by_kind.setdefault((r["label"], len(r["unit"])), ([], []))
+            ids.append(r["node"])
+            points.append(r["unit"])
+        kinds = {kind: (np.array(ids), np.array(points)) for kind, (ids, points) in by_kind.items()}
+
+        def true_links(batches, kinds=kinds):
+            for batch in batches:
+                node, unit = batch.column("node").to_numpy(), batch.column("unit")
+                length = np.diff(unit.offsets.to_numpy()).tolist()
+                places: dict[tuple, list[int]] = {}
+                for at, kind in enumerate(zip(batch.column("label").to_pylist(), length)):
+                    if kind in kinds:
+                        places.setdefault(kind, []).append(at)
+                for kind, here in places.items():
+                    ids, points = kinds[kind]
+                    a, b = np.nonzero(points @ _matrix(unit.take(pa.array(here))).T >= threshold)
+                    a, b = ids[a], node[here][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+        truth = units.select("node", "label", "unit").mapInArrow(true_links, "a long, b long")
+        per_node = truth.join(known.withColumn("found", F.lit(1)), ["a", "b"], "left").groupBy("a").agg(
+            (F.count("found") / F.count(F.lit(1))).alias("share")
+        )
+        met = per_node.agg(F.count(F.lit(1)).alias("n"), F.avg("share").alias("recall")).first()
+        if len(rows) < drawn or met["n"] >= LINKED:
+            return met["recall"] if met["n"] else 1.0
+        if drawn >= MOST_AUDITED:
+            return None
+        drawn *= 4
 
 
 def vector_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -284,34 +299,44 @@ def vector_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     reachable by links, and ``kept`` marks the vector with that key (of repeated keys one). Vectors
     that are null, zero, or hold null or non-finite components link with nothing, as do
     vectors of different lengths. Equal vectors are one node of the graph. Lists whose
-    neighbours all link are doubled; those still full at ``MOST_NEIGHBOURS`` are compared exactly
-    with all nodes of their label, in tiles. ``recall`` is that of an audited sample, the same in all
-    rows; rounds of refinement go on until it is high.
+    neighbours all link are doubled; nodes whose list is full of links when the rounds end are
+    compared exactly with all nodes of their label, in tiles. ``recall`` is that of an audited sample of the
+    others, the same in all rows; rounds of refinement, with further random orders, go on until it
+    is high. If it stays short of ``ENOUGH`` or links are too rare to tell, all nodes go to the tiles.
     """
     rows, units = unit_vectors(vectors, key, vector, label)
     # a little room below the threshold, for the rounds run in single precision
     near = threshold - 1e-5
     graph = best_neighbours(first_graph(units, seed))
-    sizes, recall, round_ = None, 1.0, 0
+    recall = None
     for round_ in range(MOST_ROUNDS):
         found = refined(graph, units, round_)
-        full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("least")).select(
-            "a",
-            F.when((F.col("least") >= near) & (F.col("held") >= NEIGHBOURS), F.least(F.col("held") * 2, F.lit(MOST_NEIGHBOURS)))
-            .otherwise(F.greatest("held", F.lit(NEIGHBOURS))).alias("size"),
+        if round_ >= ROUNDS:
+            found = found.unionByName(first_graph(units, seed + round_))
+        sizes = materialise(
+            graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("least")).select(
+                "a",
+                F.when((F.col("least") >= near) & (F.col("held") >= NEIGHBOURS), F.least(F.col("held") * 2, F.lit(MOST_NEIGHBOURS)))
+                .otherwise(F.greatest("held", F.lit(NEIGHBOURS))).alias("size"),
+            ),
+            "sizes",
         )
-        sizes = materialise(full, "sizes")
         graph = best_neighbours(graph.unionByName(found), sizes)
         if round_ + 1 >= ROUNDS:
-            dense = graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("least"))
-            full_nodes = dense.where((F.col("least") >= near) & (F.col("held") >= MOST_NEIGHBOURS)).select(F.col("a").alias("node"))
-            open_units = units.join(full_nodes, "node", "left_anti")
-            recall = audit(graph, open_units, threshold)
-            if recall >= ENOUGH:
+            dense = graph.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.min("cos").alias("least")).join(sizes, "a", "left")
+            full_nodes = dense.where(
+                (F.col("least") >= near) & (F.col("held") >= F.coalesce("size", F.lit(NEIGHBOURS)))
+            ).select(F.col("a").alias("node"))
+            recall = audit(graph, units.join(full_nodes, "node", "left_anti"), threshold)
+            if recall is None or recall >= ENOUGH:
                 break
-    # nodes beside a full one are compared exactly as well: their lists may hold part of its group only
-    beside = graph.where(F.col("cos") >= near).join(full_nodes.withColumnRenamed("node", "b"), "b", "left_semi")
-    full_nodes = materialise(full_nodes.unionByName(beside.select(F.col("a").alias("node"))).distinct(), "full")
+    if recall is None or recall < ENOUGH:
+        full_nodes, recall = units.select("node"), 1.0
+    else:
+        # nodes beside a full one are compared exactly as well: their lists may hold part of its group only
+        beside = graph.where(F.col("cos") >= near).join(full_nodes.withColumnRenamed("node", "b"), "b", "left_semi")
+        full_nodes = full_nodes.unionByName(beside.select(F.col("a").alias("node"))).distinct()
+    full_nodes = materialise(full_nodes, "full")
     pairs = graph.where(F.col("cos") >= near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sure = exact_cosines(pairs, units).where(F.col("cos") >= threshold).select("a", "b")
     links = materialise(sure, "links")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldcast.llm import vector_dedup as vectors_module
 from foldcast.llm.language import best_path, fit_languages, identify_languages, label_words
 from foldcast.llm.toxicity import drop_toxic, fit_toxicity, maximal_segments, toxic_passages
 from foldcast.llm.vector_dedup import vector_dedup
@@ -120,3 +121,37 @@ def test_vectors_match_brute_force(spark):
     assert sorted((str(r["key"]), r["n_links"], r["component"]) for r in got) == want
     assert all(r["kept"] == (r["key"] == r["component"]) for r in got if r["key"] is not None)
     assert vector_dedup(df.where("false")).count() == 0
+
+
+def near_groups(n, sizes, dim=64):
+    """Random unit vectors, the first ones with ``sizes`` others around them at a cosine of 0.992."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(n, dim))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    out = [points]
+    for centre, size in zip(points, sizes):
+        apart = rng.normal(size=(size, dim))
+        apart -= np.outer(apart @ centre, centre)
+        out.append(0.992 * centre + math.sqrt(1 - 0.992**2) * apart / np.linalg.norm(apart, axis=1, keepdims=True))
+    return np.concatenate(out)
+
+
+def test_vectors_a_poor_graph_misses_are_compared_exactly(spark, monkeypatch):
+    for name, value in (("PROJECTIONS", 1), ("AHEAD", 1), ("ROUNDS", 1), ("MOST_ROUNDS", 1)):
+        monkeypatch.setattr(vectors_module, name, value)
+    points = near_groups(500, [1] * 20 + [2, 5, 14, 20])
+    cos = points @ points.T
+    want = (cos >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    rows = vector_dedup(df).collect()
+    assert {r["key"]: r["n_links"] for r in rows} == dict(enumerate(want.tolist()))
+    assert sum(r["kept"] for r in rows) == 500
+
+
+def test_audit_meets_links_before_it_tells_recall(spark):
+    points = near_groups(1500, [1])
+    units = spark.createDataFrame([(i, 1, x.tolist(), 1) for i, x in enumerate(points)], "node long, label int, unit array<double>, copies long")
+    none = spark.createDataFrame([], "a long, b long, cos double")
+    pair = spark.createDataFrame([(0, 1500, 0.992)], none.schema)
+    assert vectors_module.audit(none, units, 0.98) == 0.0
+    assert vectors_module.audit(pair, units, 0.98) == 1.0
