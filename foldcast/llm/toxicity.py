@@ -172,15 +172,11 @@ def maximal_segments(hits: Sequence[tuple[int, float]], other: float) -> list[tu
 
 
 def scored_passages(text: str, model: ToxicityModel) -> tuple[list[tuple[int, int, float]], int]:
-    """The maximal segments of a text, in words counted from 0, and its number of words. A word
-    counts where it occurs first, since its log-odds are those of occurring in a text."""
+    """The maximal segments of a text, in words counted from 0, and its number of words. Every
+    occurrence of a word counts, wherever the word stood before."""
     words = _WORD.findall(text.lower())
     table = model.words
-    first: dict[str, int] = {}
-    for i, word in enumerate(words):
-        if word in table:
-            first.setdefault(word, i)
-    return maximal_segments([(i, table[w]) for w, i in first.items()], model.other), len(words)
+    return maximal_segments([(i, table[w]) for i, w in enumerate(words) if w in table], model.other), len(words)
 
 
 def judged(text: str | None, model: ToxicityModel) -> tuple[float, list[tuple[int, int, float]]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldcast.llm import vector_dedup as vectors_module
 from foldcast.llm.language import best_path, fit_languages, identify_languages, label_words
-from foldcast.llm.toxicity import drop_toxic, fit_toxicity, maximal_segments, toxic_passages
+from foldcast.llm.toxicity import ToxicityModel, drop_toxic, fit_toxicity, judged, maximal_segments, toxic_passages
 from foldcast.llm.vector_dedup import vector_dedup
 from tests.llm.conftest import awkward_rows
 
@@ -47,6 +47,14 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
 
 
+def test_toxic_passages_repeat_words_of_earlier_ones():
+    model = ToxicityModel({"vile": 4.0, "foul": 4.0, "fine": -3.0})
+    text = " ".join(["vile foul vile foul", *["plain"] * 400, "vile foul vile foul"])
+    _, passages = judged(text, model)
+    assert [p[:2] for p in passages] == [(0, 3), (404, 407)] and passages[0][2] == pytest.approx(passages[1][2])
+    assert judged("fine " + "plain " * 400 + "vile vile vile", model)[1][0][:2] == (401, 403)
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, clashing, empty_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(1, 1, None), (None, 0, 1), (4, 0, 0), (4, 0, 0)], none.schema)
