@@ -184,9 +184,11 @@ def label_words(texts: Sequence[str], model: LanguageModel, switch: float = SWIT
 
     A word's score in a language adds the log shares of its letter groups. Its script narrows
     the languages: one that is not written in it loses 50, unless none is. Most texts
-    are in one language throughout, and for them the scan is not needed: a detour through
-    other languages costs a switch per stretch at least, so if no stretch of the text gains
-    that much in any other language, the best single language is the best path.
+    are in one language throughout, and for them the scan is not needed. A path that visits the best
+    single language pays a switch for each stretch in others; one that never does pays one switch
+    less than it has stretches, the first of them at the start of the text and the last at its
+    end. So if no stretch gains more than a switch in any other language, and no start and
+    end do so together, the best single language is the best path.
     """
     words = words_of(texts)
     k = len(model.languages)
@@ -206,9 +208,14 @@ def label_words(texts: Sequence[str], model: LanguageModel, switch: float = SWIT
     gain = scores - scores[np.arange(len(path)), path][:, None]
     # largest gain of a stretch: running sum less its minimum so far, texts set apart by a drop
     drop = 2 * np.abs(gain).sum(axis=0).max() + 1
+    at_start, at_end = np.zeros(len(first)), np.zeros(len(first))
     for j in range(k):
         run = np.cumsum(gain[:, j])
         run -= np.repeat(np.concatenate([[0], run[ends[:-1] - 1]]), ends - first)
+        earlier = np.concatenate([[0], run[:-1]])
+        earlier[first] = 0
+        at_start = np.maximum(at_start, np.maximum.reduceat(run, first))
+        at_end = np.maximum(at_end, run[ends - 1] - np.minimum.reduceat(earlier, first))
         apart = run - drop * of_text
         before = np.concatenate([[0], apart[:-1]])
         before[first] = -drop * np.arange(len(first))
@@ -216,6 +223,7 @@ def label_words(texts: Sequence[str], model: LanguageModel, switch: float = SWIT
         mixed_texts = np.unique(of_text[apart - low > switch])
         for i in mixed_texts.tolist():
             path[first[i] : ends[i]] = -1
+    path[(at_start + at_end > switch)[of_text]] = -1
     for i in np.unique(of_text[path < 0]).tolist():
         path[first[i] : ends[i]] = best_path(scores[first[i] : ends[i]], switch)
     return words, path, scores

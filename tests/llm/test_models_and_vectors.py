@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldcast.llm import language as language_module
 from foldcast.llm import vector_dedup as vectors_module
-from foldcast.llm.language import best_path, fit_languages, identify_languages, label_words
+from foldcast.llm.language import LanguageModel, Words, best_path, fit_languages, identify_languages, label_words
 from foldcast.llm.toxicity import ToxicityModel, drop_toxic, fit_toxicity, judged, maximal_segments, toxic_passages
 from foldcast.llm.vector_dedup import vector_dedup
 from tests.llm.conftest import awkward_rows
@@ -78,6 +79,26 @@ def test_viterbi_matches_all_paths():
         assert math.isclose(value.max(), scores[np.arange(6), got].sum() - 1.5 * (np.diff(got) != 0).sum())
 
 
+def test_the_scan_is_spared_only_where_one_language_wins(monkeypatch):
+    rng = np.random.default_rng(6)
+    sizes = [2, *rng.integers(1, 7, 400)]
+    scores = np.concatenate([[(0, 10, -30), (0, -30, 10)], *[rng.normal(size=(n, 3)) * rng.choice([3, 9]) for n in sizes[1:]]])
+    n = len(scores)
+    at = np.arange(n)
+    made = Words(np.repeat(np.arange(len(sizes)), sizes), at, at + 1, np.zeros(n, int), np.stack([at, at], axis=1))
+    monkeypatch.setattr(language_module, "words_of", lambda texts: made)
+    model = LanguageModel(["a", "b", "c"], scores / 2, np.ones((1, 3), bool))
+    _, path, got = label_words([""] * len(sizes), model)
+    assert np.allclose(got, scores) and path[:2].tolist() == [1, 2]
+
+    def worth(mine, way):
+        return mine[np.arange(len(way)), way].sum() - 12 * (np.diff(way) != 0).sum()
+
+    for i in range(len(sizes)):
+        mine = made.text == i
+        assert worth(scores[mine], path[mine]) == pytest.approx(worth(scores[mine], best_path(scores[mine], 12.0)))
+
+
 def test_languages(spark, awkward, empty_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = fit_languages(docs)
