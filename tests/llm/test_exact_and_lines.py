@@ -77,3 +77,12 @@ def test_verification_tells_equal_digests_apart(spark):
         "key long, row long, node int, digest binary, n_bytes long, check long",
     )
     assert sorted((r["keep_key"], r["copies"]) for r in merge_runs(rows).collect()) == [(2, 1), (3, 2)]
+
+
+def test_removed_lines_are_those_of_the_extended_runs(small_docs):
+    runs = repeated_runs(small_docs).collect()
+    want = defaultdict(set)
+    for r in runs:
+        want[r["key"]].update(range(r["first"], r["first"] + r["n_lines"]))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup(small_docs).where("n_removed > 0").collect()}
+    assert got and got == {k: len(v) for k, v in want.items()}
