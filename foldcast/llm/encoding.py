@@ -5,31 +5,20 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from foldcast.llm.common import slices, tokenizer_path
 
 #: Characters handled at a time, and words that a worker remembers; beyond, it forgets all.
-SLICE, MEMORY = 3_000_000, 1_000_000
+SLICE, MEMORY = 3_000_000, 600_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd number and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [
-            np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)]).astype(np.uint64))
-            for x in (_BASE, inverse)
-        ]
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -37,15 +26,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(value + mixed((ends - starts).astype(np.uint64)))
-
-
 def cuts_at_blanks(data: np.ndarray) -> np.ndarray:
     """Places of blanks at which a byte-level pre-tokenizer always starts a new piece: blanks with
     no white space on either side. Beside characters of which some are white space (those
@@ -59,15 +39,34 @@ def cuts_at_blanks(data: np.ndarray) -> np.ndarray:
 
 
 def cuts_at_white_space(data: np.ndarray) -> np.ndarray:
-    """Places of ASCII white space."""
-    return np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    """Places of ASCII white space, which becomes a blank in ``data``."""
+    at = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    data[at] = 32
+    return at
+
+
+def words_of(texts: Sequence[str], cuts: Callable[[np.ndarray], np.ndarray]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All words of ``texts`` in UTF-8, and the number of words before each text.
+
+    Each word has one byte more in front: the blank at which ``cuts`` parted it from the word
+    before, or for the first word of a text (which may be empty) what stands for its border."""
+    codes = [t.encode() for t in texts]
+    joined = b"\n".join([b"", *codes])
+    data = np.frombuffer(joined, np.uint8).copy()
+    borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) + 1)])
+    is_start = np.zeros(len(data), bool)
+    is_start[cuts(data)] = is_start[borders[:-1]] = True
+    at = np.flatnonzero(is_start)
+    offsets = np.append(at, len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return words, np.searchsorted(at, borders)
 
 
 class WordMemory:
     """Maps words to rows of numbers (token ids) and whole texts to the rows of their words.
 
     ``learn`` gets new words, as text and whether a blank stood before them, and returns
-    their rows. Words are recognised by a 64-bit hash and their length.
+    their rows. Words are recognised by their bytes.
     """
 
     def __init__(
@@ -77,63 +76,40 @@ class WordMemory:
         self._forget()
 
     def _forget(self) -> None:
-        self._slot: dict[int, int] = {}
+        self._slot: dict[bytes, int] = {}
         self._pool = np.zeros(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 14, np.int64)  # of each slot's row in the pool
-        self._bytes = np.zeros(1 << 14, np.int64)
         self._used = 0
 
-    def _add(self, hashes: list[int], lengths: np.ndarray, rows: Sequence[Sequence[int]]) -> None:
+    def _add(self, words: list[bytes], rows: Sequence[Sequence[int]]) -> None:
         first = len(self._slot)
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         while self._used + sizes.sum() > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         while first + len(rows) + 1 > len(self._ends):
             self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
-            self._bytes = np.concatenate([self._bytes, np.zeros_like(self._bytes)])
-        flat = np.fromiter((x for row in rows for x in row), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum()))
         self._pool[self._used : self._used + len(flat)] = flat
         self._ends[first + 1 : first + 1 + len(rows)] = self._used + np.cumsum(sizes)
-        self._bytes[first : first + len(rows)] = lengths
         self._used += len(flat)
-        self._slot.update(zip(hashes, range(first, first + len(rows))))
+        self._slot.update(zip(words, range(first, first + len(rows))))
 
     def slots(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each word of ``texts``, and the number of words before each text."""
         if len(self._slot) > self._limit:
             self._forget()
-        codes = [t.encode() for t in texts]
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-        joined = b" ".join([b"", *codes, b""])  # a blank before each text and behind the last
-        data = np.frombuffer(joined, np.uint8)
-        borders = np.concatenate([[0], np.cumsum(sizes + 1)])
-        inner = self._cuts(data)
-        is_border = np.zeros(len(data), bool)
-        is_border[borders] = True
-        at = np.union1d(inner, borders)
-        starts, ends = at[:-1] + 1, at[1:]
-        alone = is_border[at[:-1]]  # a text's first word has no blank before it
-        full = ends > starts
-        starts, ends, alone = starts[full], ends[full], alone[full]
-        hashes = span_hashes(data, starts, ends) ^ np.where(alone, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        found = list(map(self._slot.get, keys))
+        words, before = words_of(texts, self._cuts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self._slot.get, distinct))
         new = [i for i, slot in enumerate(found) if slot is None]
         if new:
-            where = first[new]
-            words = [
-                (joined[a:b].decode(), not lone)
-                for a, b, lone in zip(starts[where].tolist(), ends[where].tolist(), alone[where].tolist())
-            ]
+            keys = [distinct[i] for i in new]
             next_slot = len(self._slot)
-            self._add([keys[i] for i in new], (ends - starts)[where], self._learn(words))
+            self._add(keys, self._learn([(k[1:].decode(), k[0] == 32) for k in keys]))
             for n, i in enumerate(new):
                 found[i] = next_slot + n
-        slots = np.array(found, np.int64)[back] if keys else np.zeros(0, np.int64)
-        if not np.array_equal(self._bytes[slots], ends - starts):
-            raise ValueError("two words of different length have one hash")
-        return slots, np.searchsorted(starts, borders, side="right")
+        return np.array(found, np.int64)[coded.indices.to_numpy()], before
 
     def rows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All numbers of ``texts`` one after another, and where each text's begin and end."""
@@ -145,8 +121,11 @@ class WordMemory:
         return self._pool[flat], total[words]
 
 
+#: ASCII punctuation that begins no contraction and no special token.
+_MARKS = "[!-&(-/:;=-@\\[-`{-~]"
+
 #: Pieces that a word of Latin letters, common punctuation and single line breaks falls into.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?]+|\n(?=\\S)")
+_PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ɏ]+|{_MARKS}+|\n(?=\\S)")
 
 _STEM = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
@@ -194,6 +173,9 @@ def byte_level_coder(name: str) -> WordMemory:
             parts = []
             for word, blank in words:
                 found = _PLAIN.findall(word)
+                if not word:
+                    parts.append([])
+                    continue
                 if "".join(found) != word or not word[0].isalpha():
                     found = [word]
                 if blank:
@@ -207,6 +189,48 @@ def byte_level_coder(name: str) -> WordMemory:
     return _coders[name]
 
 
+#: A word of Latin letters with common punctuation behind; no letter here has another lower case
+#: than one letter, a combining mark, or a place in a contraction.
+_LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARKS}*)")
+
+_word_end_coders: dict[str, WordMemory] = {}
+
+
+def word_end_coder(name: str) -> WordMemory:
+    """This worker's coder for a tokenizer file of the ``tokenizers`` library with an end-of-word mark (lower
+    case, white space dropped). It gives exactly what the library gives for whole texts,
+    special tokens not added."""
+    if name not in _word_end_coders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        model, letters = tokenizer.model, byte_letters()
+        stems: dict[str, list[int]] = {"": []}
+
+        def one_piece(stem: str) -> list[int]:
+            """Letters alone and punctuation alone are one pre-token each: the model encodes them."""
+            return [x.id for x in model.tokenize(stem.encode().decode("latin1").translate(letters))]
+
+        def learn(words: list[tuple[str, bool]]) -> list[list[int]]:
+            if len(stems) > MEMORY // 2:
+                stems.clear()
+                stems[""] = []
+            found = [_LATIN.fullmatch(word) for word, _ in words]
+            split = [(m[1].lower(), m[2]) if m else None for m in found]
+            new = {p for parts in split if parts for p in parts}.difference(stems)
+            stems.update((p, one_piece(p)) for p in new)
+            others = iter(
+                tokenizer.encode_batch_fast([w for (w, _), m in zip(words, found) if not m], add_special_tokens=False)
+            )
+            return [stems[p[0]] + stems[p[1]] if p else next(others).ids for p in split]
+
+        _word_end_coders[name] = WordMemory(cuts_at_white_space, learn)
+    return _word_end_coders[name]
+
+
 def in_slices(texts: Sequence[str], limit: int = SLICE):
     """``texts`` in lists of about ``limit`` characters."""
     for start, end in slices(texts, limit):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldcast.llm.common import discard_tables, free_names, whole
 from foldcast.llm.components import components
-from foldcast.llm.encoding import in_slices, mixed, span_hashes
+from foldcast.llm.encoding import cuts_at_white_space, in_slices, mixed, words_of
 from foldcast.session import materialise
 
 #: Bits of a document's bitmap, and the columns of 64 bits that it is folded to within tiles.
@@ -39,14 +41,19 @@ def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     Words are stretches without ASCII white space, A-Z in lower case. A text of fewer than
     ``n`` words has its whole sequence as its one shingle; one without words has none.
     """
-    codes = [t.encode() for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join([b"", *codes, b""]), np.uint8)]
-    borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) + 1)])
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(white.astype(np.int8)))
-    start, end = edge[::2] + 1, edge[1::2] + 1
-    words = span_hashes(data, start, end)
-    first = np.searchsorted(start, borders)  # each text's first word
+
+    def lowered_cuts(data: np.ndarray) -> np.ndarray:
+        data[:] = _LOWER[data]
+        return cuts_at_white_space(data)
+
+    words, before = words_of(texts, lowered_cuts)
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    digests = b"".join(blake2b(w[1:], digest_size=8).digest() for w in distinct)
+    places = coded.indices.to_numpy()
+    written = np.fromiter(map(len, distinct), np.int64, len(distinct))[places] > 1
+    words = np.frombuffer(digests, np.uint64)[places[written]]
+    first = np.concatenate([[0], np.cumsum(written)])[before]  # each text's first word
     count = np.diff(first)
     full = np.maximum(count - n + 1, np.minimum(count, 1))  # shingles of each text
     at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(full)[:-1]]), full) + np.arange(full.sum())

@@ -66,3 +66,35 @@ def test_digests_of_awkward_rows(awkward, clashing, empty_docs):
     rows = encode_texts(awkward).collect()
     assert sorted((len(r["ids"]) for r in rows)) == sorted(w[1] for w in want)
     assert encoding_digests(empty_docs).count() == 0 and encode_texts(empty_docs).count() == 0
+
+
+def thue_morse(n):
+    """A word over a and b and its complement; every polynomial hash modulo 2^64 is the same for both."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_with_equal_polynomial_hashes_keep_their_own_ids():
+    from tokenizers import Tokenizer
+
+    from foldcast.llm.encoding import byte_level_coder, word_end_coder
+    from foldcast.llm.jaccard_join import shingle_sets
+
+    first, second = thue_morse(2048)
+    texts = [first, second, f"x {first} y", f"x {second} y", "", " ", "\n", "a ", " a", "a&&& b<|endoftext|>c d'll"]
+    for name, coder in (
+        (NAME, word_end_coder(NAME)), (NAME, word_coder(NAME)[1]),
+        ("byte_bpe_50k.json", byte_level_coder("byte_bpe_50k.json")),
+    ):
+        plain = Tokenizer.from_file(tokenizer_path(name))
+        plain.no_truncation()
+        plain.no_padding()
+        ids, ends = coder.rows(texts)
+        for i, text in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    values, ends = shingle_sets([first, second, "", f"A {first}", f"a {first}"], 3)
+    sets = [set(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+    assert len(sets[0]) == len(sets[1]) == 1 and sets[0] != sets[1]
+    assert sets[2] == set() and sets[3] == sets[4]
