@@ -15,6 +15,7 @@ from foldcast.llm import (
     language,
     line_dedup,
     mixing,
+    packing,
     token_counts,
     toxicity,
     vector_dedup,
@@ -154,3 +155,11 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_dedup(vectors).select(
         F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept", "recall"
     )
+
+
+@_query("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs).select(
+        F.col("key").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
+    )
