@@ -201,9 +201,9 @@ def _groups(pieces: DataFrame, group_size: int, least_ids: int) -> DataFrame:
             yield row(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in kind)
-    n = pieces.count()
+    n, ids = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(max(1, min(tasks, -(-n // group_size))))
+    dealt = pieces.repartition(max(1, min(tasks, -(-n // group_size), ids // least_ids if least_ids else tasks)))
     return dealt.mapInArrow(cut, f"grp long, item array<struct<{fields}>>")
 
 
