@@ -16,6 +16,7 @@ from foldcast.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic_runs,
     token_counts,
     toxicity,
     vector_dedup,
@@ -163,3 +164,23 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs).select(
         F.col("key").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset"
     )
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_repeats(_table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs, key="key")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # of exact length / period: a/b > c/d where a*d > c*b
+    best = F.reduce(
+        "runs", F.element_at("runs", 1),
+        lambda x, r: F.when(r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x),
+    )
+    best = F.when(F.size("runs") > 0, best)
+    return found.select("key", "runs", "collapsed", lines.alias("lines"), best.alias("best")).select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
