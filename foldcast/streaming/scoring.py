@@ -54,14 +54,21 @@ def learnt_features(
     return onehot_range(out, ranges)[0] if ranges else out
 
 
-def run_available(stream: DataFrame, label: str, timeout: int | None = None) -> DataFrame:
-    """Process what is there now into a table in the shared folder and read it.
+def run_available(
+    stream: DataFrame, label: str, timeout: int | None = None, folder: str | None = None,
+    progress: list | None = None,
+) -> DataFrame:
+    """Process what is there now into a table and read it.
 
-    The file sink with its checkpoint writes each result once, also when a task or
-    an executor is lost.
+    The file sink logs each batch it has written, and the checkpoint the rows it has read, its watermark and
+    its state, so each result is written once, also when a task, an executor or the driver
+    is lost. With a ``folder`` of the caller, ``table`` and ``progress`` lie there: a later run of the
+    same query, in any process, goes on behind the last finished batch, redoes one that was cut
+    off, and returns the results of all runs. Without one a fresh folder is taken, for this run only.
+    ``progress`` gets Spark's report of every batch.
     """
     spark = stream.sparkSession
-    path = fresh_path(spark, label)
+    path = folder.rstrip("/") if folder else fresh_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{path}/table")
@@ -76,5 +83,7 @@ def run_available(stream: DataFrame, label: str, timeout: int | None = None) ->
         elif not query.awaitTermination(timeout):
             raise TimeoutError(f"the stream {label} did not finish in {timeout} s")
     finally:
+        if progress is not None:
+            progress += query.recentProgress
         query.stop()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
