@@ -95,6 +95,66 @@ def lasso(spark, sf_dir):
     return round_columns(fold_scores(predicted, "y"), ["MAE", "RMSE"], 2).drop("R2")
 
 
+_JOINT_FEATURES, _JOINT_TARGETS, _JOINT_ALPHA = ("x", "weekend", "month"), ("y", "value"), 0.02
+
+
+def _joint_lasso_sql(sweeps: int = 300) -> str:
+    """Coordinate descent on covariances, one sweep per step of the recursion."""
+    k, t = range(len(_JOINT_FEATURES)), range(len(_JOINT_TARGETS))
+    moments = [f"covar_pop({_JOINT_FEATURES[i]}, {_JOINT_FEATURES[j]}) AS g{i}{j}" for i in k for j in k]
+    moments += [f"covar_pop({_JOINT_FEATURES[i]}, {_JOINT_TARGETS[u]}) AS c{i}{u}" for i in k for u in t]
+    moments += [f"avg({c}) AS m_{c}" for c in (*_JOINT_FEATURES, *_JOINT_TARGETS)]
+    weights = [f"w{i}{u}" for i in k for u in t]
+    inner = "descent JOIN m USING (fold)"
+    step = f"SELECT fold, n, m.* EXCLUDE (fold), {', '.join(weights)} FROM {inner} WHERE n < {sweeps}"
+    for i in k:
+        pulls = ", ".join(
+            f"c{i}{u} - ({' + '.join(f'g{i}{j} * w{j}{u}' for j in k if j != i)}) AS r{u}" for u in t
+        )
+        length = "sqrt(" + " + ".join(f"r{u} * r{u}" for u in t) + ")"
+        new = ", ".join(f"greatest(0, 1 - {_JOINT_ALPHA} / {length}) * r{u} / g{i}{i} AS w{i}{u}" for u in t)
+        gone = ", ".join([*(f"w{i}{u}" for u in t), *(f"r{u}" for u in t)])
+        step = f"SELECT * EXCLUDE ({gone}), {new} FROM (SELECT *, {pulls} FROM ({step}))"
+    fitted = " UNION ALL ".join(
+        f"SELECT fold, split, '{target}' AS target, {target} AS y, m_{target} + "
+        + " + ".join(f"w{i}{u} * ({f} - m_{f})" for i, f in enumerate(_JOINT_FEATURES))
+        + f" AS p FROM rows JOIN fit USING (fold)" for u, target in enumerate(_JOINT_TARGETS)
+    )
+    return (
+        f"WITH RECURSIVE {DAILY_SQL}, {FOLDS_SQL}, rows AS MATERIALIZED (SELECT CAST(fold AS INTEGER) AS fold, split, "
+        "CAST(a.y AS DOUBLE) AS y, a.revenue / 100000 AS value, CAST(b.y AS DOUBLE) AS x, "
+        "CASE WHEN dayofweek(a.d) IN (0, 6) THEN 1.0::DOUBLE ELSE 0 END AS weekend, CAST(month(a.d) AS DOUBLE) AS month "
+        "FROM daily a JOIN daily b ON a.d = b.d + 7 JOIN folds ON year(a.d) = year), "
+        f"m AS MATERIALIZED (SELECT fold, {', '.join(moments)} FROM rows WHERE split = 'train' GROUP BY 1), "
+        f"descent AS (SELECT fold, 0 AS n, {', '.join(f'0.0::DOUBLE AS {w}' for w in weights)} FROM m UNION ALL "
+        f"SELECT fold, n + 1, {', '.join(weights)} FROM ({step})), "
+        f"fit AS MATERIALIZED (SELECT * FROM descent JOIN m USING (fold) WHERE n = {sweeps}), all_rows AS ({fitted}) "
+        "SELECT fold, split, target, count(*) AS n, "
+        f"{r('avg(abs(y - p))')} AS \"MAE\", {r('-sqrt(avg((y - p) * (y - p)))')} AS \"RMSE\", "
+        f"{r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS \"R2\" FROM all_rows GROUP BY 1, 2, 3"
+    )
+
+
+@query("lasso_joint", _joint_lasso_sql())
+def lasso_joint(spark, sf_dir):
+    """Two targets under one penalty per feature."""
+    df = lag_days(daily(spark, sf_dir).select("d", "y", "revenue"), ["y"], [7], "d").select(
+        "d", F.col("y").cast("double").alias("y"), (F.col("revenue") / 100000).alias("value"),
+        F.col("y_d7").cast("double").alias("x"), F.dayofweek("d").isin(1, 7).cast("double").alias("weekend"),
+        F.month("d").cast("double").alias("month"),
+    )
+    year = F.year("d")
+    rows = materialise(assign_folds(df, fold_table(df, year, FOLD_YEARS, 1), year), "joint_folds")
+    out = None
+    for target in _JOINT_TARGETS:
+        predicted, _ = fit_folds(
+            rows, _JOINT_FEATURES, target, "joint_lasso", FOLD_YEARS, alpha=_JOINT_ALPHA, jointly=_JOINT_TARGETS
+        )
+        scores = fold_scores(predicted, target).withColumn("target", F.lit(target))
+        out = scores if out is None else out.unionByName(scores)
+    return round_columns(out, _SCORES)
+
+
 @query(
     "tree_regression",
     f"""{_DAILY_FOLDS_SQL}, fit AS (
@@ -196,6 +256,42 @@ def seasonal_regression(spark, sf_dir):
     return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
 
 
+_BENDS = ("1995-07-01", "1996-07-01")
+
+
+def _bent_term_sql() -> dict[str, str]:
+    bends = {
+        f"bend{k + 1}": f"greatest(date_diff('day', DATE '{date}', d), 0) / 365.25::DOUBLE" for k, date in enumerate(_BENDS)
+    }
+    return _term_sql() | bends | {"x": "x", "price": "price"}
+
+
+@query(
+    "seasonal_trend",
+    f"""WITH {DAILY_SQL}, {FOLDS_SQL}, lagged AS (
+      SELECT a.d, CAST(a.y AS DOUBLE) AS y, CAST(b.y AS DOUBLE) AS x, b.revenue / b.y / 100000 AS price
+      FROM daily a JOIN daily b ON a.d = b.d + 7),
+    rows AS MATERIALIZED (
+      SELECT CAST(fold AS INTEGER) AS fold, split, y,
+             {', '.join(f'{sql} AS {name}' for name, sql in _bent_term_sql().items())}
+      FROM lagged JOIN folds ON year(d) = year),
+    {ols_sql('rows', list(_bent_term_sql()), 'y', 'fitted')}
+    SELECT fold, split, {_MODEL_SCORES_SQL} FROM fitted GROUP BY 1, 2""",
+)
+def seasonal_trend(spark, sf_dir):
+    """Known changepoints, and two regressors: count and mean price of the week before."""
+    df = lag_days(daily(spark, sf_dir).select("d", "y", "revenue"), ["y", "revenue"], [7], "d").select(
+        "d", F.col("y").cast("double").alias("y"), F.col("y_d7").cast("double").alias("x"),
+        (F.col("revenue_d7") / F.col("y_d7") / 100000).alias("price"),
+    )
+    year = F.year("d")
+    rows = materialise(assign_folds(df, fold_table(df, year, FOLD_YEARS, 1), year), "trend_folds")
+    predicted, _ = fit_folds(
+        rows, ["x", "price"], "y", "seasonal", FOLD_YEARS, changepoints=list(_BENDS), penalty=0.0
+    )
+    return round_columns(fold_scores(predicted, "y"), _SCORES, 4)
+
+
 @query(
     "model_scoring",
     f"""{_DAILY_FOLDS_SQL}, fit AS (

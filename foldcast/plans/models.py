@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foldcast.functions.metrics import REGRESSION_SCORES, Metric
 from foldcast.operators.columns import known_numbers, quoted
 from foldcast.operators.scores import long_scores, score
+from foldcast.plans.penalised import JointLasso, SeasonalTrend
 
 FEATURES = "_features"
 PREDICTION = "p"
@@ -67,11 +68,15 @@ ESTIMATORS: dict[str, Callable] = {
     "boosted": _boosted,
     "count": _glm,
 }
+# Models that name their columns themselves: (label column, features, settings) -> estimator.
+NAMED_ESTIMATORS: dict[str, Callable] = {"joint_lasso": JointLasso, "seasonal": SeasonalTrend}
 
 
 def model_steps(model: str, features: Sequence[str], target: str, **settings) -> Pipeline:
+    if model in NAMED_ESTIMATORS:
+        return Pipeline(stages=[NAMED_ESTIMATORS[model](target, list(features), **settings)])
     if model not in ESTIMATORS:
-        raise ValueError(f"unknown model {model}; known: {sorted(ESTIMATORS)}")
+        raise ValueError(f"unknown model {model}; known: {sorted({*ESTIMATORS, *NAMED_ESTIMATORS})}")
     assemble = VectorAssembler(inputCols=list(features), outputCol=FEATURES)
     return Pipeline(stages=[assemble, ESTIMATORS[model](target, **settings)])
 
