@@ -219,6 +219,7 @@ class _Join:
         """Stored (tile, row, pivot) of every tile with two sets or more; one row stands for equal sets."""
         one = self.classes.select(F.col("class").alias("row"))
         entries = self.sketches.join(one, "row", "left_semi").select("row", F.explode("tiles").alias("tile"))
+        entries = entries.repartition("tile")  # one shuffle, read by the count and by the join
         shared = entries.groupBy("tile").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
         return materialise(entries.join(shared.select("tile", "pivot"), "tile"), "tiles")
 
