@@ -73,7 +73,7 @@ def lag_baseline(spark, sf_dir):
     return round_columns(_lag_scores(spark, sf_dir), list(_NO_PLL))
 
 
-_YEARS = (1997, 1998, 1999, 2000)
+_YEARS = (1997, 1998, 1999, 2000, 2001)
 
 
 @query(
@@ -81,7 +81,7 @@ _YEARS = (1997, 1998, 1999, 2000)
     f"WITH {DAILY_SQL}, pairs AS ({_PAIRS_SQL}), s AS (SELECT CAST(lag AS INTEGER) AS lag, "
     "CAST(year(d) AS INTEGER) AS year, "
     + ", ".join(f"{sql} AS \"{k}\"" for k, sql in metric_sql(offsets=_OFFSET_SQL).items())
-    + " FROM pairs WHERE year(d) BETWEEN 1997 AND 2000 GROUP BY 1, 2), long AS ("
+    + f" FROM pairs WHERE year(d) BETWEEN {_YEARS[0]} AND {_YEARS[-1]} GROUP BY 1, 2), long AS ("
     + " UNION ALL ".join(
         f"SELECT lag, year, '{k}' AS metric, \"{k}\" AS value FROM s" for k in _NO_PLL
     )
@@ -91,7 +91,7 @@ _YEARS = (1997, 1998, 1999, 2000)
 )
 def fold_score_summary(spark, sf_dir):
     long = sc.long_scores(
-        _lag_scores(spark, sf_dir).where(F.col("year").between(1997, 2000)).drop("n"),
+        _lag_scores(spark, sf_dir).where(F.col("year").between(_YEARS[0], _YEARS[-1])).drop("n"),
         list(_NO_PLL),
     )
     out = sc.fold_summary(long, ["lag", "metric"], "year", _YEARS)

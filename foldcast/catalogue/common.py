@@ -49,7 +49,7 @@ def round_columns(df: DataFrame, names, digits: int = 6) -> DataFrame:
 # --- derived inputs -------------------------------------------------------------
 
 LAGS = (1, 7, 364, 365)
-FOLD_YEARS = (3, 4, 5)
+FOLD_YEARS = (3, 4, 5, 6)  # the last one validates on the seventh year, the last of the orders
 MASK_EVERY = 13
 NULL_EVERY = 17
 
@@ -134,12 +134,12 @@ PRICED_SQL = f"""priced AS (
          CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderpriority END AS priority
   FROM orders)"""
 # (fold, split, year) for the order years
-FOLDS_SQL = """years AS (
+FOLDS_SQL = f"""years AS (
   SELECT year, row_number() OVER (ORDER BY year) AS k
   FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)),
 folds AS (
   SELECT fold, CASE WHEN k <= fold THEN 'train' ELSE 'valid' END AS split, year
-  FROM years, (VALUES (3), (4), (5)) f(fold) WHERE k <= fold + 1)"""
+  FROM years, (VALUES {', '.join(f'({n})' for n in FOLD_YEARS)}) f(fold) WHERE k <= fold + 1)"""
 
 
 def r(sql: str, digits: int = 6) -> str:

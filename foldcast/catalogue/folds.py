@@ -54,12 +54,12 @@ def fold_continuity(spark, sf_dir):
     return fold_day_check(df, fold_table(df, F.year("d"), FOLD_YEARS, 1), "d", count="y")
 
 
-_SHIP_FOLDS_SQL = """years AS (
+_SHIP_FOLDS_SQL = f"""years AS (
   SELECT year, row_number() OVER (ORDER BY year) AS k
   FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem)),
 folds AS (
   SELECT fold, CASE WHEN k <= fold THEN 'train' ELSE 'valid' END AS split, year
-  FROM years, (VALUES (3), (4), (5)) f(fold) WHERE k <= fold + 1)"""
+  FROM years, (VALUES {', '.join(f'({n})' for n in FOLD_YEARS)}) f(fold) WHERE k <= fold + 1)"""
 
 
 @query(
