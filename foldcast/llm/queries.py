@@ -53,13 +53,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n
       FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
     ), windows AS (
-      SELECT doc_id, i, n, line || CASE WHEN n > 1 THEN chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) ELSE '' END AS content
+      SELECT doc_id, i, least(n, 2) AS width,
+             line || CASE WHEN n > 1 THEN chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) ELSE '' END AS content
       FROM written
+      UNION ALL
+      SELECT doc_id, i, 1, line FROM written
+      WHERE n > 1 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 10
     ), later AS (
-      SELECT doc_id, i, n, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth
+      SELECT doc_id, i, width, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth
       FROM windows WHERE content IS NOT NULL
     ), gone AS (
-      SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1)) v(k) WHERE nth > 1 AND i + k <= n
+      SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1)) v(k) WHERE nth > 1 AND k < width
     ), kept AS (
       SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS clean
       FROM raw r LEFT JOIN (SELECT w.doc_id, w.pos FROM written w JOIN gone USING (doc_id, i)) g
@@ -75,7 +79,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """,
 )
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that lie in runs of two or more lines seen before go; digest of what stays."""
+    """Lines that lie in runs of two or more lines, or lines of ten or more words, seen before go;
+    digest of what stays."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 from foldcast.llm.exact_dedup import drop_copies, exact_dedup, merge_runs
@@ -36,27 +37,31 @@ def test_drop_copies_keeps_columns(clashing, empty_docs):
     assert drop_copies(empty_docs).count() == 0 and exact_dedup(empty_docs).count() == 0
 
 
-def brute_lines(rows, min_run):
+def brute_lines(rows, min_run, long_line):
     rows = sorted({(r[0], r[1]) for r in rows if r[1]}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, out = set(), {}
     for key, text in rows:
         lines = text.split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\r\n\x0b\x0c")]
         width, gone = min(min_run, len(at)), set()
-        for s in range(len(at) - width + 1 if at else 0):
-            content = tuple(lines[i] for i in at[s : s + width])
+        spans = [at[s : s + width] for s in range(len(at) - width + 1 if at else 0)]
+        if width > 1:
+            spans += [[i] for i in at if len(re.findall(r"[^\x20\x09-\x0D]+", lines[i])) >= long_line]
+        for span in spans:
+            content = tuple(lines[i] for i in span)
             if content in seen:
-                gone.update(at[s : s + width])
+                gone.update(span)
             seen.add(content)
         out[key, text] = (len(at), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
 def test_line_dedup_matches_brute_force(clashing, small_docs, empty_docs):
-    for docs, min_run in ((clashing, 2), (clashing, 1), (small_docs, 2), (small_docs, 3)):
+    cases = ((clashing, 2, 10), (clashing, 1, 10), (clashing, 3, 2), (small_docs, 2, 10), (small_docs, 3, 4))
+    for docs, min_run, long_line in cases:
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-        want = brute_lines(rows, min_run)
-        out = line_dedup(docs, min_run=min_run)
+        want = brute_lines(rows, min_run, long_line)
+        out = line_dedup(docs, min_run=min_run, long_line=long_line)
         names = out.columns[-3:]
         for r in out.collect():
             got = tuple(r[n] for n in names)
@@ -65,6 +70,16 @@ def test_line_dedup_matches_brute_force(clashing, small_docs, empty_docs):
     assert line_dedup(empty_docs).count() == 0
 
 
+def test_long_single_lines_count_between_other_neighbours(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), "too short to count"
+    docs = spark.createDataFrame(
+        [(1, f"a\n{long}\nb\n{short}"), (2, f"{short}\nc\n{long}\nd"), (3, long), (4, f"{long}\ne\n{long}")],
+        "doc_id long, text string",
+    )
+    got = {r["doc_id"]: (r["n_removed"], r["clean_text"]) for r in line_dedup(docs).collect()}
+    assert got == {1: (0, f"a\n{long}\nb\n{short}"), 2: (1, f"{short}\nc\nd"), 3: (1, ""), 4: (2, "e")}
+
+
 def test_runs_extend_along_a_diagonal(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\n\nd\ny")], "doc_id long, text string")
     [run] = repeated_runs(docs).collect()
