@@ -10,7 +10,8 @@ from foldcast.catalogue.common import (
 )
 from foldcast.operators import rows
 from foldcast.operators.columns import complete_masks
-from foldcast.operators.ordered import lag_rows, sequence_blocks
+from foldcast.operators.joins import join_on
+from foldcast.operators.ordered import lag_rows, sequence_blocks, series_blocks
 from foldcast.operators.profile import day_extent
 from foldcast.operators.series import lag_days, long_series, running_mean
 from foldcast.plans.preparation import lag_features as filled_lags
@@ -165,6 +166,38 @@ def event_blocks(spark, sf_dir):
     )
 
 
+_LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(
+    "series_blocks",
+    f"""WITH placed AS (
+      SELECT l_linestatus, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_linestatus
+             ORDER BY {', '.join(f'{c} NULLS FIRST' for c in _LINE_ORDER)}) - 1 AS i FROM lineitem),
+    cut AS (
+      SELECT l_linestatus, i // 10000 AS block, CAST(count(*) AS INTEGER) AS n, arg_min(l_orderkey, i) AS first_order,
+             arg_max(l_orderkey, i) AS last_order, CAST(sum(l_partkey * (i + 1)) AS BIGINT) AS checksum
+      FROM placed GROUP BY 1, 2)
+    SELECT *, CAST(sum(n) OVER (PARTITION BY l_linestatus) AS BIGINT) AS n_rows,
+           count(*) OVER (PARTITION BY l_linestatus) AS n_blocks FROM cut""",
+)
+def whole_series(spark, sf_dir):
+    """The shipments of each status as one series: a few keys hold all rows."""
+    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", *_LINE_ORDER)
+    blocks, index = series_blocks(lines, [], _LINE_ORDER, ["l_linestatus"])
+    weighted = F.transform("records", lambda x, i: x["l_partkey"] * (F.col("first") + i + 1))
+    return join_on(
+        blocks.select(
+            "l_linestatus", "block", "n",
+            F.element_at("records", 1)["l_orderkey"].alias("first_order"),
+            F.element_at("records", -1)["l_orderkey"].alias("last_order"),
+            F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"),
+        ),
+        index.select("l_linestatus", "n_rows", "n_blocks"),
+        ["l_linestatus"],
+    )
+
+
 _FIRST, _LAST = "1996-01-01", "1999-12-31"
 
 

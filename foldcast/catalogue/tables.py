@@ -19,6 +19,7 @@ from foldcast.plans import headers, metadata as md
 from foldcast.plans.metadata import ColumnSpec, ColumnTable
 from foldcast.plans.preparation import indicator_stats
 from foldcast.session import fresh_path
+from foldcast.sources.moments import MomentStore
 from foldcast.sources.tables import read_csv, write_csv
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -207,6 +208,38 @@ def onehot_stats(spark, sf_dir):
     return round_columns(indicator_stats(hot, created), ["mean", "std"])
 
 
+@query(
+    "onehot_sparse",
+    f"""WITH {PRICED_SQL},
+    priorities AS (SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS code
+                   FROM (SELECT DISTINCT priority FROM priced WHERE priority IS NOT NULL)),
+    prices AS (SELECT price, row_number() OVER (ORDER BY price) - 1 + (SELECT count(*) FROM priorities) AS code
+               FROM (SELECT DISTINCT price FROM priced WHERE price IS NOT NULL))
+    SELECT o_orderkey, concat_ws(',', p.code, v.code) AS hot
+    FROM priced LEFT JOIN priorities p USING (priority) LEFT JOIN prices v USING (price)""",
+)
+def onehot_sparse(spark, sf_dir):
+    """One indicator per priority and per price; nearly every order has a price of its own."""
+    df = priced_orders(spark, sf_dir).select("o_orderkey", "priority", "price")
+    dictionaries, _ = encode.value_dictionaries(df, ["priority", "price"])
+    hot = encode.sparse_onehot(df, dictionaries)
+    return hot.select("o_orderkey", F.array_join(F.col("hot").cast("array<string>"), ",").alias("hot"))
+
+
+@query(
+    "onehot_sparse_stats",
+    f"WITH {PRICED_SQL}, n AS (SELECT count(*) AS n FROM priced), ones AS ("
+    "SELECT 'o_custkey' AS \"column\", CAST(o_custkey AS VARCHAR) AS value, count(*) AS k FROM priced "
+    "WHERE o_custkey IS NOT NULL GROUP BY 2 UNION ALL "
+    "SELECT 'priority', priority, count(*) FROM priced WHERE priority IS NOT NULL GROUP BY 2) "
+    f"SELECT \"column\", value, {r('k / n', 9)} AS mean, {r('sqrt(k * (1 - k / n) / (n - 1))', 9)} AS std, "
+    "CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS min, 1.0::DOUBLE AS max FROM ones, n",
+)
+def onehot_sparse_stats(spark, sf_dir):
+    df = priced_orders(spark, sf_dir).select("o_custkey", "priority")
+    return round_columns(encode.sparse_stats(df, ["o_custkey", "priority"]), ["mean", "std"], 9)
+
+
 @query(
     "onehot_range",
     "SELECT l_orderkey, l_partkey, l_suppkey, "
@@ -322,6 +355,22 @@ def stats_upsert(spark, sf_dir):
     return round_columns(round_columns(out, ["mean"], 8), ["std", "min", "max"])
 
 
+@query("stats_merged", " UNION ALL ".join(
+    f"SELECT l_suppkey, '{c}' AS \"column\", count({c}) AS n, {r(f'avg({c})', 8)} AS mean, "
+    f"{r(f'stddev_pop({c})')} AS std, {r(f'stddev_samp({c})')} AS std_samp, min({c}) AS min, max({c}) AS max "
+    "FROM lineitem GROUP BY 1"
+    for c in ("l_quantity", "l_extendedprice")
+))
+def stats_merged(spark, sf_dir):
+    """Statistics taken in two steps, a part per year of shipment, equal those of all rows."""
+    df = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    store = MomentStore(fresh_path(spark, "moments"), ["l_suppkey"], ["l_quantity", "l_extendedprice"])
+    early = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")
+    store.add(df.where(early), F.year("l_shipdate"))
+    store.add(df.where(~early | F.col("l_shipdate").isNull()), F.year("l_shipdate"))
+    return round_columns(round_columns(store.read(spark), ["mean"], 8), ["std", "std_samp"])
+
+
 # --- splits by value, dates, round trip -----------------------------------------
 
 _SUPPLIER_SQL = "CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_suppkey END"

@@ -201,14 +201,44 @@ def series_block(
 ) -> DataFrame:
     """The whole series of each key as one block, for series with one row per day.
 
-    A key with more than ``most_rows`` rows is an error: use ``sequence_blocks``.
+    A key with more than ``most_rows`` rows is an error: use ``series_blocks``.
     """
     if not keys:
         raise ValueError("name the key of the series: a whole table is never one block")
     if longest_key(df, keys) > most_rows:
-        raise ValueError(f"a key has more than {most_rows} rows: cut it into sequence_blocks")
+        raise ValueError(f"a key has more than {most_rows} rows: cut it into series_blocks")
     record = F.struct(*[quoted(o) for o in order], *[quoted(v) for v in values])
     return df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(record)).alias("records"),
         F.count(F.lit(1)).cast("int").alias("n"),
     )
+
+
+def series_blocks(
+    df: DataFrame,
+    values: Sequence[str],
+    order: Sequence[str],
+    keys: Sequence[str],
+    block_rows: int = 10_000,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole series of each key, of any length: (blocks, index).
+
+    The blocks of a key in order of ``block`` are its series: rows (keys, block, first, n,
+    records), where ``first`` is the position of the first record. The index has a row per key
+    with the length of its series, the number of its blocks, and the first and last record. No
+    task holds more than a block of a key; the blocks are stored, so both read them.
+    """
+    names = [*order, *[v for v in values if v not in order]]
+    cut = sequence_blocks(df, names, order, block_rows, keys)
+    blocks = materialise(cut.withColumn("first", F.col("block") * block_rows), "series").select(
+        *map(quoted, keys), "block", "first", "n", "records"
+    )
+    ends = blocks.select(
+        *map(quoted, keys), "block", "n", F.element_at("records", 1).alias("_low"),
+        F.element_at("records", -1).alias("_high"),
+    )
+    index = ends.groupBy(*map(quoted, keys)).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_blocks"),
+        F.min_by("_low", "block").alias("first_record"), F.max_by("_high", "block").alias("last_record"),
+    )
+    return blocks, index

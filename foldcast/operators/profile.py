@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from foldcast.operators.columns import quoted
 
+#: Distinct values that may be listed on the driver.
+MOST_VALUES = 10_000
+
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: the nulls of each column and their sum as ``total``."""
@@ -76,15 +79,15 @@ def column_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) ->
     )
 
 
-def distinct_values(df: DataFrame, column: str, cap: int | None = None) -> list:
+def distinct_values(df: DataFrame, column: str, cap: int = MOST_VALUES) -> list:
     """All distinct non-null values in ascending order.
 
-    With ``cap``, more than that is an error that names the column, never a
-    shortened list.
+    More than ``cap`` is an error that names the column, never a shortened list; no more
+    than that reach the driver.
     """
     found = df.select(quoted(column).alias("v")).where("v is not null").distinct()
-    rows = (found if cap is None else found.limit(cap + 1)).collect()
-    if cap is not None and len(rows) > cap:
+    rows = found.limit(cap + 1).collect()
+    if len(rows) > cap:
         raise ValueError(f"column {column} has more than {cap} distinct values")
     return sorted(r.v for r in rows)
 

@@ -208,3 +208,39 @@ def upsert_stats(
             for c in values
         ],
     )
+
+
+def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str | Column] = ()) -> DataFrame:
+    """Per group and column, in one scan: n, mean, m2 (sum of squares around the mean), min
+    and max. Unlike a std these can be merged; see ``merge_moments``."""
+    stats = long_stats(group_stats(df, columns, by), columns)
+    return stats.withColumn("m2", F.col("std") * F.col("std") * F.col("n")).drop("std", "std_samp")
+
+
+def merge_moments(parts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Moments of groups from those of their parts, one row per part and group. The parts of a
+    group are merged in ``order``, so the result is the same in every run."""
+    values = ["n", "mean", "m2", "min", "max"]
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("n"), *[F.lit(None).cast("double").alias(v) for v in values[1:]]
+    )
+
+    def merged(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        old = F.coalesce(a["mean"], b["mean"])
+        gap = b["mean"] - old
+        return F.struct(
+            n.alias("n"),
+            (old + gap * b["n"] / n).alias("mean"),
+            (F.coalesce(a["m2"], F.lit(0.0)) + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"),
+            F.least(a["min"], b["min"]).alias("min"),
+            F.greatest(a["max"], b["max"]).alias("max"),
+        )
+
+    part = F.struct(*[quoted(o) for o in order], *values)
+    return (
+        parts.groupBy(*map(quoted, by)).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+        .withColumn("_parts", F.filter("_parts", lambda x: x["n"] > 0))
+        .select(*map(quoted, by), F.reduce("_parts", zero, merged).alias("_all"))
+        .select(*map(quoted, by), "_all.*")
+    )

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cores: int | str = "*", app: str = "foldcast", **conf: str) -> SparkSession:
@@ -84,8 +85,23 @@ def small_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def checked_broadcast(df: DataFrame, label: str, max_rows: int = 200_000) -> DataFrame:
-    """The right side of a join: worked out once, counted, and broadcast only if it is
+def checked_broadcast(
+    df: DataFrame, label: str, max_rows: int = 200_000, max_bytes: int = 64 << 20
+) -> DataFrame:
+    """The right side of a join: worked out once, measured, and broadcast only if it is
     small. A larger one is joined by a shuffle, in which AQE splits hot keys."""
     stored = materialise(df, label)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    return F.broadcast(stored) if _is_small(stored, max_rows, max_bytes) else stored
+
+
+def _is_small(stored: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    if stored.count() > max_rows:
+        return False
+    of_any_length = [
+        f.name for f in stored.schema.fields
+        if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+    ]
+    if not of_any_length:
+        return True
+    letters = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in of_any_length])))
+    return (stored.agg(F.sum(letters)).head()[0] or 0) <= max_bytes

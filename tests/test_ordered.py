@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from foldcast.operators.ordered import (
-    dense_index, lag_rows, longest_key, sequence_blocks, series_block,
+    dense_index, lag_rows, longest_key, sequence_blocks, series_block, series_blocks,
 )
 from tests.conftest import rows_of
 
@@ -92,3 +92,18 @@ def test_series_block(panel_small):
         series_block(panel_small, ["y"], ["d"], ["entity"], most_rows=39)
     assert (longest_key(panel_small, ["entity"]), longest_key(panel_small)) == (40, 110)
     assert longest_key(panel_small.limit(0), ["entity"]) == 0
+
+
+def test_series_of_any_length_in_blocks(spark):
+    """One key is longer than a single block may be."""
+    df = spark.range(0, 130_000, 1, 6).selectExpr("IF(id < 120000, NULL, id % 2) AS k", "130000 - id AS t", "id AS v")
+    blocks, index = series_blocks(df, ["v"], ["t"], ["k"], block_rows=7000)
+    lengths = {r.k: (r.n_rows, r.n_blocks, r.first_record.v, r.last_record.v) for r in index.collect()}
+    assert lengths == {None: (120_000, 18, 119_999, 0), 0: (5000, 1, 129_998, 120_000), 1: (5000, 1, 129_999, 120_001)}
+    series = [
+        x.v for r in blocks.where("k IS NULL").orderBy("block").select("records").collect() for x in r.records
+    ]
+    assert series == list(range(119_999, -1, -1))
+    assert blocks.agg(F.max("n")).head()[0] == 7000 and blocks.where("first <> block * 7000").count() == 0
+    blocks, index = series_blocks(df.limit(0), ["v"], ["t"], ["k"])
+    assert blocks.count() == 0 and index.count() == 0

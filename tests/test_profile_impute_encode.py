@@ -114,3 +114,52 @@ def test_onehot_of_all_null_column_leaves_nothing(spark):
     df = spark.createDataFrame([(None, 1)], "cat string, x int")
     hot, names = encode.onehot(df, ["cat"])
     assert hot.columns == ["x"] and names == {"cat": []}
+
+
+def test_values_above_the_bound_are_an_error_before_they_are_listed(spark):
+    many = spark.range(10_001).withColumnRenamed("id", "v")
+    with pytest.raises(ValueError, match="v has more than 10000"):
+        encode.onehot(many, ["v"])
+
+
+def test_sparse_onehot_equals_the_dense_form(spark):
+    df = spark.createDataFrame(
+        [(1, "b", 2.5), (2, "a", None), (3, None, -1.0), (4, "b", 2.5), (5, None, None), (5, None, None)],
+        "id int, cat string, num double",
+    )
+    tables, width = encode.value_dictionaries(df, ["cat", "num"])
+    assert width == 4
+    got = encode.sparse_onehot(df, tables)
+    assert got.columns == ["id", "hot"]
+    dense, names = encode.onehot(df, ["cat", "num"])
+    flat = [n for new in names.values() for n in new]
+    want = sorted((r["id"], [i for i, n in enumerate(flat) if r[n]]) for r in dense.collect())
+    assert sorted((r["id"], r["hot"]) for r in got.collect()) == want
+    later = spark.createDataFrame([(9, "zz", 2.5), (10, "a", None)], df.schema)  # a value not learnt has no place
+    assert sorted(map(tuple, encode.sparse_onehot(later, tables).collect())) == [(9, [3]), (10, [0])]
+    with pytest.raises(ValueError, match="hot"):
+        encode.sparse_onehot(df.withColumnRenamed("id", "hot"), tables)
+
+
+def test_sparse_onehot_of_a_key_and_of_nothing(spark):
+    df = spark.range(5000).selectExpr("id", "concat('k', lpad(id, 5, '0')) AS key", "IF(id % 3 = 0, 'hot', 'cold') AS few")
+    tables, width = encode.value_dictionaries(df, ["few", "key"])
+    assert width == 5002
+    rows = {r.id: r.hot for r in encode.sparse_onehot(df, tables).collect()}
+    assert len(rows) == 5000 and all(hot == [int(i % 3 == 0), 2 + i] for i, hot in rows.items())
+    empty = df.limit(0)
+    tables, width = encode.value_dictionaries(empty, ["few"])
+    assert width == 0 and encode.sparse_onehot(empty, tables).count() == 0
+    assert encode.sparse_onehot(df, tables).where("size(hot) > 0").count() == 0
+    assert encode.sparse_stats(empty, ["few"]).count() == 0
+
+
+def test_sparse_stats_equal_those_of_the_indicators(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "x"), ("b", "x")], "cat string, one string")
+    got = {(r["column"], r["value"]): r for r in encode.sparse_stats(df, ["cat", "one"]).collect()}
+    hot, names = encode.onehot(df, ["cat", "one"])
+    assert len(got) == 3
+    for column, value in got:
+        name = f"{column}_{value}"
+        want = hot.agg(F.avg(name), F.stddev_samp(name), F.min(name), F.max(name)).head()
+        assert tuple(got[column, value])[2:] == pytest.approx(tuple(want))

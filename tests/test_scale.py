@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from foldcast.operators import scale
 from foldcast.operators.scale import Stats
+from foldcast.sources.moments import MomentStore
 
 
 @pytest.fixture
@@ -79,3 +80,36 @@ def test_long_stats_and_upsert(spark, frame):
     assert len(got) == 5
     assert (got["a", "v"].mean, got["a", "v"].max) == (9.0, 3.0)
     assert (got["b", "v"].mean, got["c", "v"].max) == (8.0, None)
+
+
+def moment_rows(df):
+    return {(r["g"], r["column"]): tuple(r)[2:] for r in df.collect()}
+
+
+def test_moment_store_keeps_up_with_all_rows(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "IF(id < 1000, NULL, id % 7) AS g", "id % 4 AS batch", "1e8 + sin(id) AS v",
+        "IF(id % 7 = 2 OR id % 4 = 3, NULL, CAST(id AS INT)) AS w",
+    )
+    store = MomentStore(str(tmp_path / "m"), ["g"], ["v", "w"])
+    for n in (0, 1):
+        store.add(rows.where(F.col("batch") == n), F.col("batch"))
+    before = sorted((tmp_path / "m" / "_batch=0").glob("*.parquet"))
+    store.add(rows.where("batch > 1"), F.nullif("batch", F.lit(3)))  # batch 3 has the name null
+    store.add(rows.where("batch = 2"), F.col("batch"))  # repeated: counts once
+    assert sorted((tmp_path / "m" / "_batch=0").glob("*.parquet")) == before  # not rewritten
+    want = moment_rows(scale.long_stats(scale.group_stats(rows, ["v", "w"], ["g"]), ["v", "w"]))
+    assert want[2, "w"] == (0, None, None, None, None, None)
+    small = store.compact(spark, str(tmp_path / "c"), "all")
+    for now in (store, small):
+        got = moment_rows(now.read(spark))
+        assert got.keys() == want.keys()
+        for key, values in want.items():
+            assert got[key] == (pytest.approx(values, rel=1e-6) if values[0] else values), key
+
+
+def test_moments_merge_in_one_order(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, 9.0), ("b", 1, None)], "g string, p int, v double")
+    parts = scale.moments(df, ["v"], ["g", "p"])
+    got = {r.g: tuple(r)[2:] for r in scale.merge_moments(parts, ["g", "column"], ["p"]).collect()}
+    assert got == {"a": (3, 5.0, 26.0, 2.0, 9.0), "b": (0, None, None, None, None)}
