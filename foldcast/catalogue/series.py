@@ -15,6 +15,7 @@ from foldcast.operators.ordered import lag_rows, sequence_blocks, series_blocks
 from foldcast.operators.profile import day_extent
 from foldcast.operators.series import lag_days, long_series, running_mean
 from foldcast.plans.preparation import lag_features as filled_lags
+from foldcast.plans.preparation import with_year
 
 _ROW_LAGS = [1, 7, -1]
 
@@ -114,6 +115,32 @@ def running_mean_baseline(spark, sf_dir):
     return round_columns(df.select("entity", "d", "y", "y_mask", p.alias("p")), ["p"])
 
 
+@query(
+    "complete_masks",
+    f"WITH {DAILY_SQL} SELECT 'y' AS target, y_mask AS mask, CAST(sum(y) AS BIGINT) AS orders, count(*) AS days "
+    "FROM daily GROUP BY y_mask UNION ALL SELECT 'revenue', 0, CAST(sum(y) AS BIGINT), count(*) FROM daily",
+)
+def completed_masks(spark, sf_dir):
+    """Days per target and mask; the revenue comes without a mask and counts on every day."""
+    df = complete_masks(daily(spark, sf_dir), ["y", "revenue"])
+    masks = F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(f"{t}_mask").alias("mask")) for t in ("y", "revenue")
+    ])
+    return (
+        df.select("y", F.explode(masks).alias("m")).groupBy("m.target", "m.mask")
+        .agg(F.sum("y").alias("orders"), F.count(F.lit(1)).alias("days"))
+    )
+
+
+@query(
+    "year_column",
+    f"WITH {DAILY_SQL} SELECT excel_day, y, CAST(year(d) AS INTEGER) AS x_c_y FROM daily",
+)
+def year_column(spark, sf_dir):
+    """The year of days that are held as spreadsheet day numbers."""
+    return with_year(daily(spark, sf_dir).select("excel_day", "y"), "excel_day")
+
+
 @query(
     "day_continuity",
     f"WITH {PANEL_SQL} SELECT entity, CAST(sum(y) AS BIGINT) AS n_rows, min(d) AS first_day, "

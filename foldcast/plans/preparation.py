@@ -64,6 +64,15 @@ def year_of(df: DataFrame, date_column: str) -> Column:
     return F.year(from_excel_day(col) if isinstance(kind, T.NumericType) else col)
 
 
+#: Fixed value: the name of the year column.
+YEAR_COLUMN = "x_c_y"
+
+
+def with_year(df: DataFrame, date_column: str, name: str = YEAR_COLUMN) -> DataFrame:
+    """Add the year of the date column, unless the data have a year column already."""
+    return df if name in df.columns else df.withColumn(name, year_of(df, date_column))
+
+
 def lag_features(
     df: DataFrame,
     columns: Sequence[str],
@@ -161,13 +170,14 @@ def apply_folds(
 ) -> tuple[DataFrame, DataFrame]:
     """All folds in one plan: (rows, statistics).
 
-    Statistics are taken once per year and merged per fold, so the fit reads each
-    row once. ``null_scope="split"`` fills the nulls of a mean column with the
+    The year of a row is that of its year column, or else of its date. Statistics are taken
+    once per year and merged per fold, so the fit reads each row once. ``null_scope="split"`` fills the nulls of a mean column with the
     mean of the row's own split, ``"train"`` with that of the training rows.
     """
     if null_scope not in ("split", "train"):
         raise ValueError("null_scope must be 'split' or 'train'")
-    spark, year = df.sparkSession, year_of(df, table.date_column())
+    spark = df.sparkSession
+    year = quoted(YEAR_COLUMN).cast("int") if YEAR_COLUMN in df.columns else year_of(df, table.date_column())
     std = present(df, table.normalised(md.STD))
     minmax = present(df, table.normalised(md.MINMAX))
     zero = present(df, table.null_policy(md.ZERO))

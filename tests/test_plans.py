@@ -168,6 +168,18 @@ def test_excel_day_dates(spark):
     assert stats.count() == 0
 
 
+def test_year_column_is_added_once_and_decides_the_fold(spark):
+    df = spark.createDataFrame([(39083, 1.0), (39448, 2.0), (None, 3.0)], "x_c_dat int, v double")
+    dated = preparation.with_year(df, "x_c_dat")
+    assert rows_of(dated, "v", "x_c_y") == [(1.0, 2007), (2.0, 2008), (3.0, None)]
+    assert preparation.with_year(dated, "x_c_dat").columns == dated.columns
+    # A business year that is not that of the date.
+    own = df.where("v < 3").withColumn("x_c_y", F.lit(2010.0) - F.col("v"))
+    table = ColumnTable.of([ColumnSpec("x_c_dat", operation=md.DATE), ColumnSpec("v")])
+    rows, _ = preparation.apply_folds(own, table, [1], 1)
+    assert rows_of(rows, "split", "v") == [("train", 2.0), ("valid", 1.0)]
+
+
 def test_lag_features_normalised(panel_small):
     out = preparation.lag_features(panel_small, ["y"], [1], ["d"], ["entity"], normalised=True)
     row = out.agg(F.avg("y_l1"), F.count_if(F.col("y_l1").isNull())).head()
