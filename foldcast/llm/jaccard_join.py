@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldcast.llm.common import discard_tables, free_names, whole
+from foldcast.llm.common import by_filter, discard_tables, free_names, mark_filter, whole
 from foldcast.llm.components import components
 from foldcast.llm.encoding import cuts_at_white_space, in_slices, mixed, words_of
 from foldcast.session import materialise
 
-#: Bits of a document's bitmap, and the columns of 64 bits that it is folded to within tiles.
-BITS, FOLDED = 2048, 16
+#: Least and most bits of a document's bitmap, and the columns of 64 bits that it is folded to within tiles.
+BITS, MOST_BITS, FOLDED = 2048, 1 << 18, 16
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.5
 #: Unresolved tiles of more sets than this are tried with other pivots before all their pairs are.
@@ -127,19 +127,28 @@ def tile_keys(values: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
 
 
-def bitmaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A bitmap per set, as rows of 64-bit numbers: each bit is the parity of the members hashed to it.
-    Two sets differ in at least as many members as their bitmaps do in bits."""
-    n = len(ends) - 1
-    place = np.repeat(np.arange(n) * BITS, np.diff(ends)) + (values & np.uint64(BITS - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+def bitmaps(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' bitmaps one after another, as 64-bit numbers, and their borders: each bit is the parity of
+    the members hashed to it. A bitmap has at least two bits a member, up to ``MOST_BITS``, and a power of
+    two of them, so that a longer one folds to a shorter one's length. Two sets differ in at least as many
+    members as their bitmaps do in bits."""
+    sizes = np.diff(ends)
+    bits = np.full(len(sizes), BITS)
+    while (small := (bits < 2 * sizes) & (bits < MOST_BITS)).any():
+        bits[small] *= 2
+    borders = np.concatenate([[0], np.cumsum(bits)])
+    low = values & np.repeat(bits - 1, sizes).astype(np.uint64)
+    place = np.repeat(borders[:-1], sizes) + low.astype(np.int64)
+    odd = (np.bincount(place, minlength=borders[-1]) & 1).astype(bool)
+    return np.packbits(odd).view(np.int64), borders // 64
 
 
-def folded(maps: np.ndarray) -> np.ndarray:
+def folded(maps: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Each bitmap's parts laid over one another by exclusive or: bitmaps of parities again, of fewer
     bits, so with a weaker bound of the same kind."""
-    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, FOLDED), axis=1)
+    if len(borders) == 1:
+        return np.zeros((0, FOLDED), np.int64)
+    return np.bitwise_xor.reduceat(maps.reshape(-1, FOLDED), borders[:-1] // FOLDED)
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -156,16 +165,14 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
                 tiles, tile_ends = tile_keys(values, ends, percent)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(values ^ np.uint64(c)), dtype=np.uint64)]) for c in (1, 2)]
                 h1, h2 = (s[ends[1:]] - s[ends[:-1]] for s in sums)
-                maps = bitmaps(values, ends)
+                maps, map_ends = bitmaps(values, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, len(some)), batch.column(2).slice(start, len(some)),
                         pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(some) + 1) * maps.shape[1], pa.int32()), pa.array(maps.reshape(-1))
-                        ),
+                        pa.ListArray.from_arrays(pa.array(map_ends, pa.int32()), pa.array(maps)),
                         pa.ListArray.from_arrays(pa.array(tile_ends, pa.int32()), pa.array(tiles.view(np.int64))),
-                        *map(pa.array, np.ascontiguousarray(folded(maps).T)),
+                        *map(pa.array, np.ascontiguousarray(folded(maps, map_ends).T)),
                     ],
                     ["key", "mark", "n_shingles", "h1", "h2", "bitmap", "tiles", *parts],
                 )
@@ -192,8 +199,22 @@ def _could_reach(percent: int, a: str, b: str, differ: str) -> str:
     return f"{100 + percent} * {common} >= {percent} * {both}"
 
 
+def _sizes_could_reach(percent: int, a: str, b: str) -> str:
+    return f"100 * least({a}.n_shingles, {b}.n_shingles) >= {percent} * greatest({a}.n_shingles, {b}.n_shingles)"
+
+
 def _bits_apart(a: str, b: str) -> str:
-    return f"aggregate(zip_with({a}.bitmap, {b}.bitmap, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    """The longer bitmap is folded to the length of the shorter one."""
+    length = f"least(size({a}.bitmap), size({b}.bitmap))"
+
+    def short(m: str) -> str:
+        rest = f"sequence(i + {length}, size({m}) - 1, {length})"
+        return (
+            f"if(size({m}) = {length}, {m}, "
+            f"transform(slice({m}, 1, {length}), (w, i) -> aggregate({rest}, w, (s, j) -> s ^ {m}[j])))"
+        )
+
+    return f"aggregate(zip_with({short(f'{a}.bitmap')}, {short(f'{b}.bitmap')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 
 
 def _folded_bits_apart(a: str, b: str) -> str:
@@ -214,6 +235,7 @@ class _Join:
         )
         self.passing: list[DataFrame] = []  # stored tables that only roots() needs
         self.maps = self.sketches.select("row", "n_shingles", "bitmap")
+        self.repeated = not filled.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty()
 
     def tiles(self) -> DataFrame:
         """Stored (tile, row, pivot) of every tile with two sets or more; one row stands for equal sets."""
@@ -228,8 +250,11 @@ class _Join:
         intersecting the sorted sets, which are made again for the documents concerned only."""
         left = self.maps.select(F.col("row").alias("a"), F.struct("n_shingles", "bitmap").alias("x"))
         right = self.maps.select(F.col("row").alias("b"), F.struct("n_shingles", "bitmap").alias("y"))
+        near = _could_reach(self.percent, "x", "y", _bits_apart("x", "y"))
         hopeful = materialise(
-            pairs.join(left, "a").join(right, "b").where(_could_reach(self.percent, "x", "y", _bits_apart("x", "y"))).select("a", "b"), "pairs"
+            pairs.join(left, "a").join(right, "b")
+            .where(f"CASE WHEN {_sizes_could_reach(self.percent, 'x', 'y')} THEN {near} ELSE false END").select("a", "b"),
+            "pairs",
         )
         wanted = hopeful.select(F.col("a").alias("row")).unionByName(hopeful.select(F.col("b").alias("row"))).distinct()
         n, percent = self.n, self.percent
@@ -256,22 +281,25 @@ class _Join:
                     good.append(100 * common >= percent * (len(p) + len(q) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        who = self.sketches.select("row", "key", "mark").join(wanted, "row", "left_semi")
+        who = materialise(self.sketches.select("row", "key", "mark").join(wanted, "row", "left_semi"), "wanted")
+        marks = materialise(mark_filter(who), "filter")
         its_key, its_mark, its_row, mark = free_names(self.docs, "its_key", "its_mark", "its_row", "text_mark")
-        who = who.toDF(its_row, its_key, its_mark)
+        its = who.toDF(its_row, its_key, its_mark)
         tagged = self.docs.select(
             F.col(self.key).alias(self.key), whole(F.col(self.text)).alias(self.text)
         ).withColumn(mark, F.xxhash64(F.col(self.text)))
+        tagged = by_filter(tagged, mark, marks, "left_semi")  # other texts are not moved
         texts = tagged.join(
-            who, (tagged[mark] == who[its_mark]) & tagged[self.key].eqNullSafe(who[its_key])
+            its, (tagged[mark] == its[its_mark]) & tagged[self.key].eqNullSafe(its[its_key])
         ).select(F.col(its_row).alias("row"), F.col(self.text).alias("text"))
-        made = materialise(texts.mapInArrow(sets, "row long, members binary").dropDuplicates(["row"]), "sets")
+        made = texts.mapInArrow(sets, "row long, members binary")
+        made = materialise(made.dropDuplicates(["row"]) if self.repeated else made, "sets")
         a = made.select(F.col("row").alias("a"), F.col("members").alias("x"))
         b = made.select(F.col("row").alias("b"), F.col("members").alias("y"))
         out = materialise(
             hopeful.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"), "links"
         )
-        discard_tables(made, hopeful)
+        discard_tables(made, hopeful, who, marks)
         return out
 
     def roots(self) -> DataFrame:
@@ -345,7 +373,6 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """
     join = _Join(docs, key, text, n, percent)
     roots = materialise(join.roots(), "roots")
-    discard_tables(*join.passing)
     classed = join.sketches.select("row", "key", "mark", "n_shingles", "h1", "h2").join(
         join.classes.select("n_shingles", "h1", "h2", "class"), ["n_shingles", "h1", "h2"], "left"
     )
@@ -355,6 +382,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         .select("row", "key", "mark", "n_shingles", F.coalesce("root", "class").alias("root")),
         "labelled",
     )
+    discard_tables(roots, join.sketches, join.classes, *join.passing)
     best = labelled.groupBy("root").agg(
         F.min("key").alias("component"), F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "row")).alias("least")
     )
@@ -367,12 +395,17 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     """``docs`` with one document of each component, and all of its columns."""
     its_key, its_mark, mark = free_names(docs, "its_key", "its_mark", "text_mark")
     joined = jaccard_join(docs, key, text, n, percent)
-    kept = joined.where("first").select(F.col("key").alias(its_key), F.col("mark").alias(its_mark))
+    gone = joined.where(~F.col("first")).select("mark")
+    marks = materialise(mark_filter(gone), "filter")
     tagged = docs.withColumn(mark, F.xxhash64(whole(F.col(text))))
+    sure = by_filter(tagged, mark, marks, "left_anti").drop(mark)  # most documents: they stay where they are
+    tagged = by_filter(tagged, mark, marks, "left_semi")
+    kept = joined.where("first").select(F.col("key").alias(its_key), F.col("mark").alias(its_mark))
     left = tagged.join(kept, (tagged[mark] == kept[its_mark]) & tagged[key].eqNullSafe(kept[its_key]), "left_semi")
     twice = joined.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("kept")).where("rows > 1 AND kept")
     # rows that repeat key and text: one stays, or all if they have no words and so no links
     if twice.isEmpty():
-        return left.drop(mark)
+        return sure.unionByName(left.drop(mark))
     has_words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    return left.where(has_words).dropDuplicates([mark]).unionByName(left.where(~F.coalesce(has_words, F.lit(False)))).drop(mark)
+    left = left.where(has_words).dropDuplicates([mark]).unionByName(left.where(~F.coalesce(has_words, F.lit(False))))
+    return sure.unionByName(left.drop(mark))

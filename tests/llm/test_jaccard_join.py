@@ -1,13 +1,16 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from foldcast.llm import jaccard_join as jaccard_join_module
+from foldcast.llm.common import by_filter, mark_filter
 from foldcast.llm.components import components
 from foldcast.llm.jaccard_join import drop_near_copies, jaccard_join
+from foldcast.session import shared_folder
 from tests.llm.conftest import awkward_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,3 +113,63 @@ def test_similar_sets_share_a_tile(monkeypatch, turns, percent):
             continue
         keys, ends = jaccard_join_module.tile_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
         assert set(keys[: ends[1]].tolist()) & set(keys[ends[1] :].tolist())
+
+
+def test_bitmaps_of_long_sets_tell_them_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (20_000, 18_000, 40, 3_000)]
+    sets += [np.sort(np.concatenate([sets[0][:17_000], sets[1][:500]])), np.zeros(0, np.uint64)]
+    maps, borders = jaccard_join_module.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    rows = [maps[a:b] for a, b in zip(borders[:-1], borders[1:])]
+
+    def apart(i, j):
+        n = min(len(rows[i]), len(rows[j]))
+        x, y = (np.bitwise_xor.reduce(r.reshape(-1, n), axis=0) for r in (rows[i], rows[j]))
+        return int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+
+    assert 80 * (20_000 + 18_000) > 180 * (20_000 + 18_000 - apart(0, 1)) // 2
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            assert apart(i, j) <= len(np.setxor1d(sets[i], sets[j]))
+    short = jaccard_join_module.folded(maps, borders)
+    assert short.shape == (len(sets), jaccard_join_module.FOLDED)
+    assert all((short[i] == np.bitwise_xor.reduce(rows[i].reshape(-1, jaccard_join_module.FOLDED), axis=0)).all() for i in range(len(sets)))
+
+
+def test_bitmaps_of_unequal_length_in_sql(spark):
+    rows = [([1, 2, 4, 8], [1 ^ 4, 2 ^ 8], 0), ([5, 6], [5, 7], 1), ([0, 0, 3, 0, 0, 0, 0, 0], [1, 0], 1)]
+    for a, b, n in rows:
+        df = spark.createDataFrame([((a,), (b,))], "x struct<bitmap: array<long>>, y struct<bitmap: array<long>>")
+        for x, y in ("xy", "yx"):
+            assert df.selectExpr(jaccard_join_module._bits_apart(x, y)).first()[0] == n
+
+
+def test_similar_long_documents_whose_bitmaps_differ_in_length(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2200)]
+    rows = [(1, " ".join(words[:2040])), (2, " ".join(words[:2070])), (3, " ".join(words)), (4, " ".join(words[150:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = Counter((r["key"], r["n_shingles"], r["component"]) for r in jaccard_join(docs).collect())
+    assert got == brute(rows, 90) and {c for _, _, c in got} == {1}
+
+
+def test_texts_that_no_filter_holds_are_not_shuffled(spark, tmp_path):
+    marks = spark.createDataFrame([(5,), (-7,), (1 << 40,), (5 + (1 << 18),)], "mark long")
+    stored = mark_filter(marks)
+    assert stored.count() == 3 and stored.schema.simpleString() == "struct<word:bigint,bits:bigint>"
+    df = spark.createDataFrame([(m, "text") for m in (5, -7, 1 << 40, 5 + (1 << 18), 6, -8, 5 + (1 << 19), 1 << 41)], "m long, word string")
+    may = by_filter(df, "m", stored, "left_semi")
+    none = by_filter(df, "m", stored, "left_anti")
+    assert sorted(r["m"] for r in may.collect()) == [-7, 5, 5 + (1 << 18), 1 << 40, 1 << 41]  # the last one shares a bit
+    assert sorted(r["m"] for r in none.collect()) == [-8, 6, 5 + (1 << 19)] and none.columns == df.columns
+
+
+def test_large_tables_go_when_the_join_is_done(spark, small_docs):
+    folder = Path(shared_folder(spark), "foldcast")
+    before = set(folder.glob("*")) if folder.exists() else set()
+    out = drop_near_copies(small_docs, n=5, percent=80)
+    kinds = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert not kinds & {"sketches", "classes", "tiles", "sets", "pairs"}
+    rows = [(r["doc_id"], r["text"]) for r in small_docs.collect()]
+    least = {c for _, _, c in brute(rows, 80, 5)}
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(least)
