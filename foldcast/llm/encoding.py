@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Callable, Sequence
 from itertools import chain
 
@@ -168,9 +168,6 @@ class WordMemory:
         return self._pool[flat], total[words]
 
 
-#: ASCII punctuation that begins no contraction and no special token.
-_MARKS = "[!-&(-/:;=-@\\[-`{-~]"
-
 _coders: dict[str, PieceMemory] = {}
 
 
@@ -295,14 +292,129 @@ def byte_level_coder(name: str) -> PieceMemory:
     return _coders[name]
 
 
-#: A word of Latin letters with common punctuation behind; no letter here has another lower case
-#: than one letter, a combining mark, or a place in a contraction.
-_LATIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)({_MARKS}*)")
+#: Added to the letter of a word's last byte in ``run_model``.
+_LAST = 0x1000
+
+
+def run_model(tokenizer):
+    """The byte pair model of ``tokenizer``, which marks ends of words, for words that stand one behind the other, in
+    which the last byte of each has a letter of its own, ``_LAST`` further on; and which ids end a word. None where the two
+    may differ: a merge behind an end of word, or an end of word that is merged from its letters."""
+    from tokenizers.models import BPE
+
+    spec = json.loads(tokenizer.to_str())["model"]
+    mark, vocab = spec.get("end_of_word_suffix"), spec["vocab"]
+    if spec["type"] != "BPE" or not mark:
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+
+    def ends(token: str) -> bool:
+        return token.endswith(mark) and token != mark
+
+    def renamed(token: str) -> str:
+        return token[: -len(mark) - 1] + chr(ord(token[-len(mark) - 1]) + _LAST) if ends(token) else token
+
+    names = {renamed(token): i for token, i in vocab.items()}
+    if (
+        any(spec.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        or any(x not in vocab or x + mark not in vocab for x in byte_letters().values())
+        or any(mark in a or ends(a + b) != ends(b) for a, b in merges)
+        or len(names) < len(vocab)
+    ):
+        return None
+    ends_word = np.zeros(max(vocab.values()) + 1, bool)
+    ends_word[[i for token, i in vocab.items() if ends(token)]] = True
+    return BPE(vocab=names, merges=[(renamed(a), renamed(b)) for a, b in merges]), ends_word
+
+
+class StemMemory(WordMemory):
+    """A ``WordMemory`` of stretches of letters, stretches of marks and single digits, for a tokenizer with an
+    end-of-word mark (lower case, white space dropped).
+
+    Each of these is one pre-token, so the model alone can encode it: many at a time, by ``run_model``. Stretches
+    beside or of other characters go through the whole tokenizer."""
+
+    #: Pieces that the model gets at a time.
+    TOGETHER = 64
+
+    def __init__(self, tokenizer, limit: int = MEMORY):
+        from tokenizers import Tokenizer
+
+        self._tokenizer, self._limit = tokenizer, limit
+        added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        self._kinds = byte_kinds("".join(added))
+        self._letters = np.array([ord(letter) for _, letter in sorted(byte_letters().items())], "<u2")
+        run = None if any(map(str.isalpha, added)) else run_model(tokenizer)
+        self._alone, self._ends_word = (Tokenizer(run[0]), run[1]) if run else (None, None)
+        self._forget()
+
+    def _learn_pieces(self, pieces: list[bytes], simple: list[bool]) -> None:
+        if self._alone is None:
+            simple = [False] * len(pieces)
+        plain = [p for p, is_simple in zip(pieces, simple) if is_simple]
+        if plain:
+            data = np.frombuffer(b" ".join([*plain, b""]).decode().lower().encode(), np.uint8)
+            blanks = np.flatnonzero(data == 32)
+            letters = self._letters[data]
+            letters[blanks - 1] += _LAST
+            run = letters[data != 32].tobytes().decode("utf-16-le")
+            ends = (blanks - np.arange(len(blanks)))[self.TOGETHER - 1 :: self.TOGETHER].tolist()
+            coded = self._alone.encode_batch_fast(
+                [run[a:b] for a, b in zip([0, *ends], [*ends, len(run)])], add_special_tokens=False
+            )
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
+            self._store(plain, ids, np.diff(np.flatnonzero(self._ends_word[ids]), prepend=-1))
+        if len(plain) < len(pieces):
+            others = [p for p, is_simple in zip(pieces, simple) if not is_simple]
+            coded = self._tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False)
+            self._add(others, [e.ids for e in coded])
+
+    def slots(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each piece of ``texts``, and the number of pieces before each text."""
+        if len(self._slot) > self._limit:
+            self._forget()
+        codes = [t.encode() for t in texts]
+        data = np.frombuffer(b"\n".join([b"", *codes, b""]), np.uint8)
+        borders = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) + 1)])
+        kind = kinds_of(data, self._kinds)
+        dotted = np.flatnonzero((data[:-1] == 0xC4) & (data[1:] == 0xB0))  # its lower case ends with a mark
+        kind[dotted] = kind[dotted + 1] = 0
+        white = (data == 32) | ((data >= 9) & (data <= 13))
+        starts = np.zeros(len(data), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts[1:] &= (kind[1:] > 0) & (kind[:-1] > 0)
+        starts[1:] |= white[:-1]
+        starts &= ~white
+        before = np.searchsorted(np.flatnonzero(starts), borders)
+        data, kind, starts = data[~white], kind[~white], starts[~white]
+        at = np.flatnonzero(starts)
+        simple = np.ones(len(at), bool)
+        simple[np.searchsorted(at, np.flatnonzero(kind == 0), "right") - 1] = False
+        upper = np.flatnonzero((data >= 65) & (data <= 90))
+        data[upper[simple[np.searchsorted(at, upper, "right") - 1]]] += 32
+        pieces = pa.Array.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        )
+        coded = pieces.dictionary_encode()
+        indices = coded.indices.to_numpy()
+        _, ends, held = coded.dictionary.buffers()
+        ends, held = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1].tolist(), held.to_pybytes()
+        distinct = [held[a:b] for a, b in zip(ends, ends[1:])]
+        found = list(map(self._slot.get, distinct))
+        new = [n for n, slot in enumerate(found) if slot is None]
+        if new:
+            alike = np.zeros(len(distinct), bool)
+            alike[indices] = simple
+            self._learn_pieces([distinct[n] for n in new], alike[new].tolist())
+            for n in new:
+                found[n] = self._slot[distinct[n]]
+        return np.array(found, np.int64)[indices], before
+
 
-_word_end_coders: dict[str, WordMemory] = {}
+_word_end_coders: dict[str, StemMemory] = {}
 
 
-def word_end_coder(name: str) -> WordMemory:
+def word_end_coder(name: str) -> StemMemory:
     """This worker's coder for a tokenizer file of the ``tokenizers`` library with an end-of-word mark (lower
     case, white space dropped). It gives exactly what the library gives for whole texts,
     special tokens not added."""
@@ -313,27 +425,7 @@ def word_end_coder(name: str) -> WordMemory:
         tokenizer = Tokenizer.from_file(tokenizer_path(name))
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        model, letters = tokenizer.model, byte_letters()
-        stems: dict[str, list[int]] = {"": []}
-
-        def one_piece(stem: str) -> list[int]:
-            """Letters alone and punctuation alone are one pre-token each: the model encodes them."""
-            return [x.id for x in model.tokenize(stem.encode().decode("latin1").translate(letters))]
-
-        def learn(words: list[tuple[str, bool]]) -> list[list[int]]:
-            if len(stems) > MEMORY // 2:
-                stems.clear()
-                stems[""] = []
-            found = [_LATIN.fullmatch(word) for word, _ in words]
-            split = [(m[1].lower(), m[2]) if m else None for m in found]
-            new = {p for parts in split if parts for p in parts}.difference(stems)
-            stems.update((p, one_piece(p)) for p in new)
-            others = iter(
-                tokenizer.encode_batch_fast([w for (w, _), m in zip(words, found) if not m], add_special_tokens=False)
-            )
-            return [stems[p[0]] + stems[p[1]] if p else next(others).ids for p in split]
-
-        _word_end_coders[name] = WordMemory(cuts_at_white_space, learn)
+        _word_end_coders[name] = StemMemory(tokenizer)
     return _word_end_coders[name]
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 
 from foldcast.llm import packing
 from foldcast.llm.common import tokenizer_path
+from foldcast.llm.encoding import byte_letters, word_end_coder
 from tests.llm.conftest import awkward_rows
 
 
@@ -112,3 +114,65 @@ def test_best_packing_moves_from_island_to_island(spark):
     rows = packing.pack_pieces(table, 1000, group_size=40, islands=3, children=10, epochs=3, rounds=2).collect()
     assert sorted(r["key"] for r in rows) == list(range(120))
     check_sequences(rows, 1000)
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    coder.no_truncation()
+    coder.no_padding()
+    return coder
+
+
+def test_coder_learns_each_stem_once():
+    stems = [a + b + c for a in ("bel", "Tor", "Übe", "inß") for b in ("an", "or", "ich", "oné") for c in ("ta", "q", "ing")]
+    texts = [f"{x}{mark} {x} {y}{mark}\n{x} ({y}) 12{mark}" for x, y in zip(stems, reversed(stems)) for mark in ".,;:!?"]
+    coder = word_end_coder("word_bpe_49k.json")
+    coder._forget()
+    ids, ends = coder.rows(texts)
+    plain = library()
+    for i, text in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    pieces = {p for text in texts for p, _ in plain.pre_tokenizer.pre_tokenize_str(text)}
+    assert len(coder._slot) <= len(pieces)
+
+
+def test_coder_equals_the_library_on_odd_texts():
+    from foldcast.llm.encoding import StemMemory
+
+    rng = random.Random(7)
+    atoms = [
+        *" \n\t\r\x0b\x1c\x85\xa0\u2003\u2028\u200b\x00\x7f", *[" ", "\n"] * 8, *"'''.,;(<|>_-", "'s", "'LL", "<|endoftext|>",
+        "<|EndOfText|>", "<|endof", "|>", "12", "\u0663", "\xbd", "\xb2", "foo", "Bar", "BAZ", "\xe9t\xe9", "\xc9T", "\xdf", "\xd7",
+        "\xf7", "\u023a", "\u024f", "\u0250", "e\u0301", "H\u0331", "\u0338", "\u4e2d", "\U0001f600", "\xaa", "\u0130", "I\u0307",
+        "s", "re", "\u03a3", "</w>", "x</w", "\u212a",
+    ]
+    texts = ["".join(rng.choices(atoms, k=rng.randrange(12))) for _ in range(3000)] + ["", "\n", " \n"]
+    texts += [f"7{c}7 !{c}! a{c}B{c}. {c}'s {c}\u0301" for c in map(chr, range(33, 0x250))]
+    want = [coded.ids for coded in library().encode_batch(texts, add_special_tokens=False)]
+    alone = StemMemory(library())
+    assert alone._alone is not None
+    alone._alone = None  # as where ``run_model`` gives none
+    for coder in (word_end_coder("word_bpe_49k.json"), StemMemory(library(), limit=50), alone):
+        for first in range(0, len(texts), 500):
+            ids, ends = coder.rows(texts[first : first + 500])
+            got = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+            assert got == want[first : first + 500]
+
+
+def test_words_run_together_only_where_no_merge_joins_them():
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    from foldcast.llm.encoding import run_model
+
+    letters = [*byte_letters().values()]
+    letters += [x + "</w>" for x in letters]
+    for merges, fit in (
+        ([("a", "b</w>")], True), ([("a", "b</w>"), ("ab</w>", "c")], False),
+        ([("a", "<"), ("/", "w"), ("a<", "/w"), ("a</w", ">")], False),
+    ):
+        vocab = {x: n for n, x in enumerate(dict.fromkeys([*letters, *[a + b for a, b in merges]]))}
+        model = BPE(vocab=vocab, merges=merges, end_of_word_suffix="</w>")
+        assert (run_model(Tokenizer(model)) is not None) == fit
