@@ -160,25 +160,46 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     return LanguageModel(languages, np.log(shares).T.astype(np.float32).copy(), uses.T.copy())
 
 
-def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
-    """Viterbi: the language of each word (rows of ``scores``) that adds up to the highest score, with
-    ``switch`` taken off for each change. Ties keep the language, then the first one."""
-    n, k = scores.shape
-    back = np.zeros((n, k), np.int32)
-    total = scores[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(total.argmax())
-        change = total[top] - switch > total
-        back[t] = np.where(change, top, stay)
-        total = np.where(change, total[top] - switch, total) + scores[t]
+def best_paths(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
+    """Viterbi: the language of each word (rows of ``scores``, texts one after another from the rows
+    ``first`` on) that adds up to the highest score of its text, with ``switch`` taken off for
+    each change. Ties keep the language, then the first one.
+
+    Totals of all texts go on by one word at a time, so that an array call serves every text that is
+    long enough; behind which words a path changes is read off all totals at once."""
+    n = len(scores)
+    sizes = np.diff(first, append=n)
+    rank = np.argsort(np.argsort(-sizes, kind="stable"))
+    number = np.arange(n) - np.repeat(first, sizes)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(number))])  # rows of each word number, longest texts first
+    place = begin[number] + np.repeat(rank, sizes)
+    totals = np.empty(scores.shape)
+    totals[place] = scores
+    begin = begin.tolist()
+    for a, b, c in zip(begin, begin[1:], begin[2:]):
+        before = totals[a : a + c - b]
+        totals[b:c] += np.maximum(before, before.max(axis=1, keepdims=True) - switch)
+    totals = totals[place]
+    rows = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    top = totals.argmax(axis=1)
+    change = totals[rows, top][:, None] - switch > totals
+    # the last word so far behind which a path to each language comes from the top one
+    left = np.maximum.accumulate(np.where(change, rows[:, None], -1), axis=0)
     path = np.empty(n, np.int32)
-    path[-1] = int(total.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    for start, end in zip(first.tolist(), (first + sizes).tolist()):
+        while end > start:
+            lang = top[end - 1]
+            begun = max(left[end - 2, lang] + 1, start) if end - 1 > start else start
+            path[begun:end] = lang
+            end = begun
     return path
 
 
+def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
+    """``best_paths`` of one text."""
+    return best_paths(scores, np.zeros(1, np.int64), switch)
+
+
 def label_words(texts: Sequence[str], model: LanguageModel, switch: float = SWITCH) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of ``texts``, the language number of each, and per word and language its score.
 
@@ -224,8 +245,9 @@ def label_words(texts: Sequence[str], model: LanguageModel, switch: float = SWIT
         for i in mixed_texts.tolist():
             path[first[i] : ends[i]] = -1
     path[(at_start + at_end > switch)[of_text]] = -1
-    for i in np.unique(of_text[path < 0]).tolist():
-        path[first[i] : ends[i]] = best_path(scores[first[i] : ends[i]], switch)
+    scanned = path < 0
+    if scanned.any():
+        path[scanned] = best_paths(scores[scanned], np.flatnonzero(np.diff(of_text[scanned], prepend=-1)), switch)
     return words, path, scores
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,51 @@ def test_viterbi_matches_all_paths():
         assert math.isclose(value.max(), scores[np.arange(6), got].sum() - 1.5 * (np.diff(got) != 0).sum())
 
 
+def plain_path(scores, switch):
+    total, back = scores[0], []
+    for row in scores[1:]:
+        top = total.argmax()
+        change = total[top] - switch > total
+        back.append(np.where(change, top, np.arange(len(row))))
+        total = np.where(change, total[top] - switch, total) + row
+    path = [total.argmax()]
+    for row in reversed(back):
+        path.append(row[path[-1]])
+    return path[::-1]
+
+
+def test_texts_are_scanned_side_by_side_as_one_by_one():
+    rng = np.random.default_rng(3)
+    for turn in range(300):
+        sizes = rng.integers(1, [4, 40][turn % 2], rng.integers(1, 9))
+        scores = rng.integers(-3, 3, (sizes.sum(), rng.integers(1, 5))).astype(float)  # many ties
+        switch = rng.choice([0.0, 1.0, 2.0, 5.0])
+        first = np.cumsum(sizes) - sizes
+        got = language_module.best_paths(scores, first, switch)
+        assert got.tolist() == [x for text in np.split(scores, first[1:]) for x in plain_path(text, switch)]
+
+
+def test_mixed_texts_cost_far_less_than_a_step_per_word(monkeypatch):
+    """Array calls for each word of each mixed text cost most of the time of op6_language."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(300, 700, 80)
+    n = sizes.sum()
+    scores = rng.normal(size=(n, 4)) * 3
+    scores[np.arange(n), np.arange(n) // 60 % 4] += 6
+    at = np.arange(n)
+    made = Words(np.repeat(np.arange(80), sizes), at, at + 1, np.zeros(n, int), np.stack([at, at], axis=1))
+    monkeypatch.setattr(language_module, "words_of", lambda texts: made)
+    model = LanguageModel(["a", "b", "c", "d"], scores / 2, np.ones((1, 4), bool))
+    begun = time.process_time()
+    _, path, _ = label_words([""] * 80, model)
+    took = time.process_time() - begun
+    begun = time.process_time()
+    want = [plain_path(text, 12.0) for text in np.split(scores, np.cumsum(sizes)[:-1])]
+    plain = time.process_time() - begun
+    assert path.tolist() == [x for text in want for x in text] and min(len(set(x)) for x in want) > 1
+    assert took < plain / 3
+
+
 def test_the_scan_is_spared_only_where_one_language_wins(monkeypatch):
     rng = np.random.default_rng(6)
     sizes = [2, *rng.integers(1, 7, 400)]
